@@ -9,12 +9,13 @@ executor's half-written files are never read.
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import re
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,10 +24,8 @@ from .common import discard, map_rows, materialise, ship, work_dir
 
 #: Tokens per block, but for documents that alone hold more.
 BLOCK = 1 << 18
-#: Distinct chunks whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 48
-#: New chunks that are encoded as one text.
-TOGETHER = 32
+#: Bytes of text that are encoded together: the more, the fewer of their chunks are distinct.
+TOGETHER = 10 << 20
 #: ASCII marks that end a chunk apart from the letters before them: the pattern always cuts between.
 MARKS = ".,;:!?%*#$&|"
 
@@ -56,17 +55,25 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: bytes that print stand for themselves, the others for U+0100 on, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class ChunkEncoder:
-    """Encodes whole texts with a byte-level BPE of the tokenizers library, remembering chunks.
+    """Encodes whole texts with a byte-level BPE of the tokenizers library, each distinct chunk once a batch.
 
     The tokenizer's pattern always cuts before a single space between two characters that are
     no white space, and merges never cross its cuts; so the ids of a text are those of its
-    chunks in turn. Chunks not seen before are encoded together, as one text, and their ids are
-    told apart by the bytes that each id stands for. Strings of special tokens are plain text.
+    chunks in turn. A batch's texts are cut at spaces and dictionary-encoded, distinct chunks
+    are encoded, and the texts' ids are gathered from theirs. A chunk of letters
+    alone is one pre-token and goes to the library's BPE model as such; other chunks, a
+    text's first, and texts with other white space around a space, go through the library's
+    encoder. Strings of special tokens are plain text.
     """
 
-    CUT = re.compile(r"(?<=\S) (?=\S)")
-
     def __init__(self, tokenizer_file: str):
         import os
 
@@ -75,13 +82,12 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.type = np.uint16 if self.vocabulary <= 1 << 16 else np.uint32
         self.chunked = self._byte_level()
-        self.byte_length = self._byte_lengths() if self.chunked else None
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        self.code = "H" if self.type is np.uint16 else "I"
+        self.letters = byte_letters()
 
     def _byte_level(self) -> bool:
         """Whether the tokenizer cuts as the class comment says: plain byte-level pre-tokens, no normaliser."""
@@ -91,93 +97,91 @@ class ChunkEncoder:
         pre = spec.get("pre_tokenizer") or {}
         return not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
 
-    def _byte_lengths(self) -> np.ndarray:
-        """Bytes per id: a byte-level token's characters stand for one byte each."""
-        out = np.zeros(self.vocabulary, np.int64)
-        for token, i in self.tokenizer.get_vocab().items():
-            out[i] = len(token)
-        return out
-
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of distinct chunks, each after a space: encoded some together, told apart by byte lengths."""
-        spaced = [" " + c for c in chunks]
-        texts = ["".join(spaced[i : i + TOGETHER]) for i in range(0, len(spaced), TOGETHER)]
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        ids = np.array([i for x in got for i in x], self.type)
-        ends = np.cumsum(self.byte_length[ids])
-        sizes = np.cumsum([len(c.encode()) for c in spaced])
-        cuts = np.searchsorted(ends, sizes) + 1
-        if not (ends[cuts - 1] == sizes).all():
-            return {c: self.whole(" " + c) for c in chunks}
-        wide, data = self.type().itemsize, ids.tobytes()
-        at = (cuts * wide).tolist()
-        return {c: data[a:b] for c, a, b in zip(chunks, [0, *at], at)}
-
-    def _new(self, missing: list[str]) -> dict[str, bytes]:
-        """Ids of chunks not remembered: a run of marks after a letter is told apart, the rest is learned once."""
-        later, marks = self.later, self.marks
-        whole, ended = {}, []
-        for p in missing:
-            body = p.rstrip(MARKS)
-            if body != p and body and body[-1].isalpha():
-                ended.append((p, body))
-                if body not in later:
-                    whole[body] = None
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks, each after a space; letters alone go to the model as one pre-token."""
+        tokenize, code, letters = self.model.tokenize, self.code, self.letters
+        out, others = [], []
+        for k, c in enumerate(chunks):
+            if c.isalpha():
+                out.append(array(code, [t.id for t in tokenize("\u0120" + (c if c.isascii() else c.encode().decode("latin-1").translate(letters)))]).tobytes())
             else:
-                whole[p] = None
-        out: dict[str, bytes] = {}
-        chunks = list(whole)
-        for i in range(0, len(chunks), 20_000):
-            out |= self._learn(chunks[i : i + 20_000])
-        for p, body in ended:
-            tail = p[len(body) :]
-            if tail not in marks:
-                if len(marks) > 10_000:
-                    marks.clear()
-                marks[tail] = self.whole(tail)
-            out[p] = (later.get(body) or out[body]) + marks[tail]
+                out.append(b"")
+                others.append(k)
+        for k, ids in zip(others, self._encoded([" " + chunks[k] for k in others])):
+            out[k] = ids
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids per text as native unsigned integers of self.type."""
-        if not self.chunked:
-            return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        later, first = self.later, self.first
-        cut, new = [], {}
-        for t in texts:
-            parts = t.split(" ")
-            unseen = [p for p in parts if p not in later]
-            if "" in unseen or any(p[0].isspace() or p[-1].isspace() for p in unseen):
-                parts = self.CUT.split(t)
-                unseen = [p for p in parts[1:] if p not in later]
-            elif unseen and unseen[0] is parts[0]:
-                del unseen[0]
-            cut.append(parts)
-            new.update(dict.fromkeys(unseen))
-        missing = list(new)
-        fresh = self._new(missing)
-        if len(later) + len(fresh) > REMEMBERED:
-            keep = {p: later[p] for parts in cut for p in parts[1:] if p in later}
-            later.clear()
-            later.update(keep)
-        later.update(fresh)
-        out = []
-        for parts in cut:
-            head = first.get(parts[0])
-            if head is None:
-                head = self.whole(parts[0])
-                if len(parts[0]) <= LONGEST:
-                    if len(first) > REMEMBERED:
-                        first.clear()
-                    first[parts[0]] = head
-            out.append(head + b"".join([later[p] for p in parts[1:]]))
-        for p in fresh:
-            if len(p) > LONGEST:
-                later.pop(p, None)
-        return out
+        if not self.chunked or not len(texts):
+            return [self.whole(t) for t in texts.to_pylist()]
+        parts = pc.split_pattern(texts, " ")
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        flat = parts.flatten()
+        length = pc.binary_length(flat).to_numpy(zero_copy_only=False)
+        clean = (length > 0) & (pc.binary_length(pc.utf8_trim_whitespace(flat)).to_numpy(zero_copy_only=False) == length)
+        odd = np.zeros(len(texts), bool)
+        odd[np.searchsorted(offsets, np.flatnonzero(~clean), "right") - 1] = True
+        later = ~np.repeat(odd, np.diff(offsets))
+        later[offsets[:-1]] = False
+
+        # letters and the marks after them apart, where that is a cut; entry 0 is empty
+        bodies = pc.utf8_rtrim(flat, MARKS)
+        tail = length - pc.binary_length(bodies).to_numpy(zero_copy_only=False)
+        tail[tail > 8] = 0
+        ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset + 1 : flat.offset + 1 + len(flat)]
+        data = np.r_[np.zeros(8, np.uint8), np.frombuffer(flat.buffers()[2] or b"", np.uint8)]
+        marked = np.flatnonzero(later & (tail > 0))
+        last = _last_letters(bodies.take(pa.array(marked)))
+        marked = marked[last]
+        units = pc.if_else(pa.array(_flags(len(flat), marked)), bodies, flat).filter(pa.array(later)).dictionary_encode()
+        ids = [b"", *self._ids(units.dictionary.to_pylist())]
+        index = np.zeros((len(flat), 2), np.int32)
+        index[later, 0] = units.indices.to_numpy(zero_copy_only=False) + 1
+        if len(marked):
+            codes = np.zeros(len(marked), np.uint64)
+            for k in range(8):
+                has = tail[marked] > k
+                codes[has] |= data[ends[marked[has]] + 7 - k].astype(np.uint64) << np.uint64(8 * k)
+            known, which = np.unique(codes, return_inverse=True)
+            index[marked, 1] = which + len(ids)
+            ids += [self.whole(int(x).to_bytes(8, "big").lstrip(b"\0").decode()) for x in known]
+        # a text's first chunk, or the whole of an odd text
+        index[offsets[:-1], 0] = np.arange(len(texts)) + len(ids)
+        heads = flat.take(pa.array(offsets[:-1])).to_pylist()
+        ids += self._encoded([texts[i].as_py() if odd[i] else heads[i] for i in range(len(texts))])
+
+        index = index.reshape(-1)
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // self.type().itemsize
+        start = (np.cumsum(size) - size).astype(np.int32)
+        pool = np.frombuffer(b"".join(ids), self.type)
+        n = size[index]
+        stops = np.cumsum(n)
+        if stops[-1] < 1 << 31:
+            stops = stops.astype(np.int32)
+        at = np.repeat(start[index] - (stops - n), n)
+        at += np.arange(len(at), dtype=at.dtype)
+        out = pool[at]
+        cuts = np.r_[0, stops][2 * offsets].tolist()
+        return [out[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+
+def _flags(n: int, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[at] = True
+    return out
+
+
+def _last_letters(words: pa.Array) -> np.ndarray:
+    """Whether each word ends in a letter."""
+    return pc.utf8_is_alpha(pc.utf8_slice_codeunits(words, -1)).to_numpy(zero_copy_only=False).astype(bool) & (pc.binary_length(words).to_numpy(zero_copy_only=False) > 0)
 
 
 @lru_cache(maxsize=2)
@@ -193,11 +197,11 @@ def encode_rows(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
         end = np.array([end_id], enc.type).tobytes()
 
         def work(batch):
-            return {"doc_id": batch.column("doc_id"), "ids": [x + end for x in enc.encode(batch.column("text").to_pylist())]}
+            return {"doc_id": batch.column("doc_id"), "ids": [x + end for x in enc.encode(batch.column("text"))]}
 
         return work
 
-    return map_rows(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id long, ids binary", make, 4 << 20)
+    return map_rows(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id long, ids binary", make, TOGETHER)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int) -> np.ndarray:
