@@ -225,8 +225,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
     def count(batches):
         total = np.zeros(most, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=most)
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=most)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
