@@ -1,9 +1,410 @@
-"""Queries over the test tables and the SQL that each must equal."""
+"""Queries over the test tables, one per operator or view, and the SQL that each must equal.
 
+Page views come from `events`: the person is user_id, the URL is
+`http://{event_type}.example.com/item/{k % 10}?src={k}` with k from props. Every tenth event
+is there twice, for the removal of repeats; `dense` views run ten times faster, for visits of
+more than one view. Persons u and u + 1 are the same for u % 5 <> 4.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import schema as S
+from .functions import keys as K
+from .functions.time_buckets import granularities, hour_bucket, quotient
+from .functions.urls import authority, normalized, normalized_or_same
+from .operators import edges, sessions
+from .plans import batch
+from .sources import serving, topics
+from .sources.store import FactStore, Landing, ingest, is_target, target
+from .streaming import views as streams
+from .streaming.state import KeyedState
+from .workspace import work_dir
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def events(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
+    """(event_id, user_id, url, secs)."""
+    secs = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01', ts)")
+    k = F.get_json_object("props", "$.k").cast("long")
+    url = F.concat(F.lit("http://"), "event_type", F.lit(".example.com/item/"), (k % 10).cast("string"), F.lit("?src="), k.cast("string"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", url.alias("url"), (quotient(secs, 10) if dense else secs).cast("int").alias("secs"))
+
+
+def page_views(spark: SparkSession, sf_dir: str, repeats: bool = False, dense: bool = False) -> DataFrame:
+    """Page-view records."""
+    rows = events(spark, sf_dir, dense)
+    if repeats:
+        rows = rows.select("*", F.explode(F.when(F.col("event_id") % 10 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"))
+    return S.page_views(rows, S.person_by_id(F.col("user_id")), F.col("url"), F.col("secs"))
+
+
+def equivs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equivalence records between neighbours of each five user ids."""
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().where("user_id % 5 <> 4")
+    return S.equivalences(users, S.person_by_id(F.col("user_id")), S.person_by_id(F.col("user_id") + 1))
+
+
+def everything(spark: SparkSession, sf_dir: str, repeats: bool = True, dense: bool = False) -> DataFrame:
+    """Records of all four units."""
+    rows = events(spark, sf_dir)
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
+    person = S.person_by_id(F.col("user_id"))
+    names = S.person_properties(users, person, F.lit(10), full_name=F.concat(F.lit("user "), F.col("user_id").cast("string")))
+    genders = S.person_properties(users, S.person_by_cookie(F.concat(F.lit("ck"), F.col("user_id").cast("string"))), F.lit(11), gender=(F.col("user_id") % 2 + 1).cast("int"))
+    places = S.person_properties(users, person, F.lit(12), location=F.struct(F.lit(None).cast("string").alias("city"), F.lit("CA").alias("state"), F.lit("US").alias("country")))
+    pages = S.page_properties(rows.where("event_id % 100 = 0"), F.col("url"), F.col("secs"), F.col("event_id").cast("int"))
+    out = page_views(spark, sf_dir, repeats, dense).unionByName(equivs(spark, sf_dir))
+    for more in (names, genders, places, pages):
+        out = out.unionByName(more)
+    return out
+
+
+def fields(spark, sf_dir, dense=False):
+    """(url, person, secs) of normalised views."""
+    return batch.view_fields(batch.normalize_urls(page_views(spark, sf_dir, dense=dense)))
+
+
+# functions -----------------------------------------------------------------------------------
+def url_normalize(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", normalized_or_same(F.col("url")).alias("url"))
+
+
+def url_normalize_strict(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("no-scheme/"), "url")).otherwise(F.col("url")).alias("url"))
+    return pages.select("page_id", normalized(F.col("url")).alias("url")).where("url is not null")
+
+
+def url_domain(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", authority(F.col("url")).alias("domain")).where("domain is not null")
+
+
+def hour_buckets(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", hour_bucket(F.col("secs")).alias("bucket"), hour_bucket(F.lit(86400) - F.col("secs")).alias("negative_bucket"))
+
+
+def granularity_rows(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", granularities(hour_bucket(F.col("secs"))))
+
+
+def view_extraction(spark, sf_dir):
+    """Fields of page-view records: a nested scan that reads three leaves."""
+    got = batch.view_fields(page_views(spark, sf_dir))
+    return got.select("url", F.col("person.user_id").alias("user_id"), F.col("person.tag").cast("int").alias("person_tag"), "secs")
+
+
+def person_order(spark, sf_dir):
+    """The least person of each group of ids: cookies come before user ids."""
+    users = events(spark, sf_dir).select("user_id").distinct()
+    ids = users.select((F.col("user_id") % 10).alias("g"), F.explode(F.array(S.person_by_id(F.col("user_id")), S.person_by_cookie(F.concat(F.lit("ck"), F.col("user_id").cast("string"))))).alias("p")).where("g < 5 or p.tag = 2")
+    return ids.groupBy("g").agg(F.min("p").alias("p")).select("g", F.col("p.tag").cast("int").alias("tag"), F.col("p.cookie").alias("cookie"), F.col("p.user_id").alias("user_id"))
+
+
+def combined_aggregate(spark, sf_dir):
+    """Count and sum of a flag as one pair."""
+    rows = events(spark, sf_dir)
+    pair = rows.groupBy("url").agg(sessions.count_and_sum(F.col("event_id") % 3 == 0).alias("p"))
+    return pair.select("url", F.col("p")[0].alias("n"), F.col("p")[1].alias("total"))
+
+
+# views ---------------------------------------------------------------------------------------
+def dedup_pageviews(spark, sf_dir):
+    got = batch.view_fields(batch.distinct_views(page_views(spark, sf_dir, repeats=True)))
+    return got.select("url", F.col("person.user_id").alias("user_id"), "secs")
+
+
+def pageviews_hourly(spark, sf_dir):
+    return batch.hourly_pageviews(fields(spark, sf_dir))
+
+
+def pageviews_over_time(spark, sf_dir):
+    return batch.pageviews_over_time(fields(spark, sf_dir))
+
+
+def _estimates(view):
+    return view.withColumn("uniques", F.hll_sketch_estimate("sketch")).drop("sketch")
+
+
+def uniques_hourly(spark, sf_dir):
+    return _estimates(batch.hourly_uniques(fields(spark, sf_dir)))
+
+
+def uniques_over_time(spark, sf_dir):
+    return _estimates(batch.uniques_over_time(fields(spark, sf_dir)))
+
+
+def bounces_intended(spark, sf_dir):
+    return batch.bounces(fields(spark, sf_dir, dense=True), "intended")
+
+
+def bounces_literal(spark, sf_dir):
+    return batch.bounces(fields(spark, sf_dir, dense=True), "literal")
+
+
+def bounces_timed(spark, sf_dir):
+    return batch.bounces(fields(spark, sf_dir, dense=True), "timed")
+
+
+# identities ----------------------------------------------------------------------------------
+def _user_edges(spark, sf_dir):
+    return equivs(spark, sf_dir).select(F.col("equiv.id1").alias("a"), F.col("equiv.id2").alias("b"))
+
+
+def equiv_bidirectional(spark, sf_dir):
+    return edges.both_directions(_user_edges(spark, sf_dir)).select(F.col("node.user_id").alias("node"), F.col("other.user_id").alias("other"))
+
+
+def equiv_step(spark, sf_dir):
+    return edges.step(_user_edges(spark, sf_dir)).select(F.col("least.user_id").alias("least"), F.col("id.user_id").alias("id"), "is_new")
+
+
+def equiv_components(spark, sf_dir):
+    got = batch.person_map(equivs(spark, sf_dir))
+    return got.select(F.col("node.user_id").alias("node"), F.col("root.user_id").alias("root"))
+
+
+def normalized_pageviews(spark, sf_dir):
+    got = batch.resolve_persons(batch.normalize_urls(page_views(spark, sf_dir)), batch.person_map(equivs(spark, sf_dir)))
+    return batch.view_fields(got).select("url", F.col("person.user_id").alias("user_id"), "secs")
+
+
+# storage -------------------------------------------------------------------------------------
+def split_targets(spark, sf_dir):
+    rows = everything(spark, sf_dir)
+    named = rows.select(F.concat_ws("/", target(F.col("unit"), F.col("prop"))).alias("path"))
+    return named.groupBy("path").agg(F.count("*").alias("records"))
+
+
+def valid_targets(spark, sf_dir):
+    paths = ["1/1", "1/2", "1/3", "1/4", "1", "2/1", "2/9", "3", "3/x/y", "4/anything", "9", "x", "", "2", "1/x"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    folders = F.filter(F.split("path", "/"), lambda x: x != "")
+    return df.select("path", is_target(folders).alias("valid"))
+
+
+def record_validation(spark, sf_dir):
+    """Records by unit, and how many are valid after some lose a required field."""
+    rows = everything(spark, sf_dir, repeats=False)
+    secs = F.col("pedigree.true_as_of_secs")
+    broken = rows.withColumn("pedigree", F.when(secs % 5 == 0, F.col("pedigree").withField("true_as_of_secs", F.lit(None).cast("int"))).otherwise(F.col("pedigree")))
+    return broken.groupBy(F.col("unit").cast("int").alias("unit")).agg(F.count("*").alias("n"), F.sum(S.is_valid().cast("long")).alias("valid"))
+
+
+def _stored(spark, sf_dir) -> FactStore:
+    base = work_dir(spark)
+    landing, master = Landing(spark, f"{base}/new"), FactStore(spark, f"{base}/master")
+    landing.write(everything(spark, sf_dir))
+    ingest(landing, master)
+    return master
+
+
+def store_ingest(spark, sf_dir):
+    """Records of a store after they landed and were taken in, by folder."""
+    got = _stored(spark, sf_dir).read()
+    return got.groupBy(F.col("unit").cast("int").alias("unit"), F.col("prop").cast("int").alias("prop")).agg(F.count("*").alias("records"))
+
+
+def scan_unit(spark, sf_dir):
+    """Equivalences from a store, pruned to their folder."""
+    got = _stored(spark, sf_dir).scan(S.EQUIV)
+    return got.select(F.col("equiv.id1.user_id").alias("id1"), F.col("equiv.id2.user_id").alias("id2"), F.col("pedigree.true_as_of_secs").alias("secs"))
+
+
+def scan_properties(spark, sf_dir):
+    """Two property folders from a store."""
+    got = _stored(spark, sf_dir).scan((S.PERSON_PROPERTY, S.GENDER), (S.PAGE_PROPERTY, S.PAGE_VIEWS))
+    return got.groupBy(F.col("unit").cast("int").alias("unit")).agg(F.count("*").alias("n"), F.sum(F.coalesce("person_property.property.gender", F.lit(0)).cast("long")).alias("genders"), F.sum(F.coalesce("page_property.property.page_views", F.lit(0)).cast("long")).alias("views"))
+
+
+def store_compact(spark, sf_dir):
+    store = _stored(spark, sf_dir)
+    got = store.compact(store.path + "-compact").read()
+    return got.groupBy(F.col("unit").cast("int").alias("unit")).agg(F.count("*").alias("records"))
+
+
+# serving -------------------------------------------------------------------------------------
+def _text(c):
+    return F.lower(F.hex(c))
+
+
+def serving_pageviews(spark, sf_dir):
+    got = serving.pageview_pairs(pageviews_over_time(spark, sf_dir))
+    return got.select(F.decode("key", "UTF-8").alias("key"), _text("value").alias("value"))
+
+
+def serving_bounces(spark, sf_dir):
+    got = serving.bounce_pairs(bounces_intended(spark, sf_dir))
+    return got.select(F.decode("key", "UTF-8").alias("key"), _text("value").alias("value"))
+
+
+def serving_uniques(spark, sf_dir):
+    got = serving.unique_pairs(batch.uniques_over_time(fields(spark, sf_dir)))
+    return got.select(F.decode("key", "UTF-8").alias("key"), F.hll_sketch_estimate("value").alias("uniques"))
+
+
+def key_urls(spark, sf_dir):
+    got = serving.pageview_pairs(pageviews_over_time(spark, sf_dir))
+    return got.groupBy(K.url_of_key(F.col("key")).alias("url")).agg(F.sum(K.from_big_endian(F.col("value"))).alias("total"))
+
+
+def shard_index(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    key = K.bucketed_key(F.col("url"), F.lit("h"), F.lit(1))
+    return pages.select("page_id", K.string_hash(F.col("url")).alias("hash"), K.url_shard(key).alias("shard"))
+
+
+def serving_export(spark, sf_dir):
+    """The page-view export written, and read back whole."""
+    path = f"{work_dir(spark)}/pageviews"
+    serving.export(serving.pageview_pairs(pageviews_over_time(spark, sf_dir)), path, K.url_shard)
+    got = spark.read.parquet(path)
+    return got.select(F.decode("key", "UTF-8").alias("key"), K.from_big_endian(F.col("value")).alias("pageviews"))
+
+
+def batch_workflow(spark, sf_dir):
+    """The whole batch layer, from landed records to exports; its three views in one table."""
+    base = work_dir(spark)
+    Landing(spark, f"{base}/new").write(everything(spark, sf_dir, dense=True))
+    made = batch.run(spark, f"{base}/new", f"{base}/master", f"{base}/out")
+    views = made["pageviews"].select(F.concat("url", F.lit("/"), "granularity", F.lit("-"), F.col("bucket").cast("string")).alias("key"), F.lit("pageviews").alias("view"), F.col("total_pageviews").alias("value"))
+    uniques = _estimates(made["uniques"]).select(F.concat("url", F.lit("/"), "granularity", F.lit("-"), F.col("bucket").cast("string")).alias("key"), F.lit("uniques").alias("view"), F.col("uniques").alias("value"))
+    ends = made["bounces"].select(F.col("domain").alias("key"), F.inline(F.array(F.struct(F.lit("visits").alias("view"), F.col("visits").alias("value")), F.struct(F.lit("bounces").alias("view"), F.col("bounces").alias("value")))))
+    return views.unionByName(uniques).unionByName(ends)
+
+
+# streams -------------------------------------------------------------------------------------
+def _stream(spark, sf_dir, dense=False):
+    """A stream of page views from a folder, in two batches by time."""
+    base = work_dir(spark)
+    rows = page_views(spark, sf_dir, dense=dense)
+    half = rows.select(F.percentile_approx("pedigree.true_as_of_secs", 0.5)).first()[0]
+    topics.send(rows.where(F.col("pedigree.true_as_of_secs") <= half).coalesce(1), f"{base}/topic")
+    topics.send(rows.where(F.col("pedigree.true_as_of_secs") > half).coalesce(1), f"{base}/topic")
+    return topics.views(topics.from_folder(spark, f"{base}/topic", 1)), KeyedState(spark, f"{base}/state"), f"{base}/checkpoint"
+
+
+def stream_pageviews(spark, sf_dir):
+    views, state, checkpoint = _stream(spark, sf_dir)
+    streams.start_pageviews(views, state, checkpoint).awaitTermination()
+    return state.latest(streams.PAGEVIEWS, "url", "bucket")
+
+
+def stream_uniques(spark, sf_dir):
+    views, state, checkpoint = _stream(spark, sf_dir)
+    streams.start_uniques(views, state, checkpoint).awaitTermination()
+    return state.latest(streams.UNIQUES, "url", "bucket").select("url", "bucket", F.hll_sketch_estimate("sketch").alias("uniques"))
+
+
+def stream_bounces(spark, sf_dir):
+    views, state, checkpoint = _stream(spark, sf_dir, dense=True)
+    streams.start_bounces(views, state, checkpoint).awaitTermination()
+    return state.total(streams.BOUNCES, "domain")
+
+
+def keyed_state(spark, sf_dir):
+    """Values put batch by batch, one batch twice, and read back."""
+    state = KeyedState(spark, f"{work_dir(spark)}/state")
+    rows = events(spark, sf_dir).select("url", hour_bucket(F.col("secs")).alias("bucket"), "event_id")
+    for k in (0, 1, 2, 2):
+        state.put(rows.where(F.col("event_id") % 3 <= k).groupBy("url", "bucket").agg(F.count("*").alias("n")), k)
+    return state.latest("url string, bucket long, n long", "url", "bucket")
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in (
+        url_normalize, url_normalize_strict, url_domain, hour_buckets, granularity_rows, view_extraction, person_order, combined_aggregate,
+        dedup_pageviews, pageviews_hourly, pageviews_over_time, uniques_hourly, uniques_over_time, bounces_intended, bounces_literal, bounces_timed,
+        equiv_bidirectional, equiv_step, equiv_components, normalized_pageviews, split_targets, valid_targets, record_validation, store_ingest, scan_unit, scan_properties, store_compact,
+        serving_pageviews, serving_bounces, serving_uniques, key_urls, shard_index, serving_export, batch_workflow, stream_pageviews, stream_uniques, stream_bounces, keyed_state,
+    )}
+
+
+EV = """e AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000000 AS secs, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+pv AS (SELECT event_id, user_id, secs, 'http://' || event_type || '.example.com/item/' || (k % 10)::VARCHAR || '?src=' || k::VARCHAR AS raw,
+  'http://' || event_type || '.example.com/item/' || (k % 10)::VARCHAR AS url, event_type || '.example.com' AS domain FROM e)"""
+GRAN = """g AS (SELECT url, x.g AS granularity, x.b AS bucket, {cols} FROM {src},
+  UNNEST([{{'g': 'h', 'b': hour}}, {{'g': 'd', 'b': hour // 24}}, {{'g': 'w', 'b': hour // 24 // 7}}, {{'g': 'm', 'b': hour // 24 // 28}}]) AS t(x))"""
+VISITS = """w AS (SELECT domain, secs - lag(secs) OVER o AS before, lead(secs) OVER o - secs AS after FROM {src} WINDOW o AS (PARTITION BY domain, user_id ORDER BY secs)),
+v AS (SELECT domain, CAST(count(*) FILTER (WHERE before IS NULL OR before > {gap}) AS BIGINT) AS visits,
+  CAST(count(*) FILTER (WHERE (before IS NULL OR before > {gap}) AND (after IS NULL OR after > {gap})) AS BIGINT) AS bounces FROM w GROUP BY domain)"""
+DENSE = "d AS (SELECT user_id, domain, secs // 10 AS secs FROM pv)"
+UNITS = """users AS (SELECT DISTINCT user_id FROM events), units AS (
+  SELECT 4 AS unit, 0 AS prop, CAST(secs AS BIGINT) AS secs, event_id AS id, TRUE AS once FROM pv
+  UNION ALL SELECT 4, 0, secs, event_id, FALSE FROM pv WHERE event_id % 10 = 0
+  UNION ALL SELECT 3, 0, 1000, user_id, TRUE FROM users WHERE user_id % 5 <> 4
+  UNION ALL SELECT 1, 1, 10, user_id, TRUE FROM users UNION ALL SELECT 1, 2, 11, user_id, TRUE FROM users UNION ALL SELECT 1, 3, 12, user_id, TRUE FROM users
+  UNION ALL SELECT 2, 1, secs, event_id, TRUE FROM pv WHERE event_id % 100 = 0)"""
+ROOTS = """ed AS (SELECT DISTINCT user_id AS a, user_id + 1 AS b FROM events WHERE user_id % 5 <> 4),
+both_ AS (SELECT a AS n, b AS o FROM ed UNION SELECT b, a FROM ed),
+reach(n, o) AS (SELECT n, o FROM both_ UNION SELECT r.n, b.o FROM reach r JOIN both_ b ON r.o = b.n),
+roots AS (SELECT n AS node, min(o) AS root FROM reach GROUP BY n HAVING min(o) < n)"""
+URL = r"^([A-Za-z]+)://([^/?#:]*)(?::\d+)?([^?#]*)"
+
+
+def _counts(src="pv", where=""):
+    return f"h AS (SELECT url, secs // 3600 AS hour, count(*) AS n FROM {src} {where} GROUP BY ALL)"
+
+
+def oracle_sql() -> dict[str, str]:
+    g = GRAN.format
+    sums = "SELECT url, granularity, bucket, CAST(sum(n) AS BIGINT) AS total_pageviews FROM g GROUP BY ALL"
+    over = f"WITH {EV}, {_counts()}, {g(cols='n', src='h')} {sums}"
+    uniq = f"WITH {EV}, u AS (SELECT DISTINCT url, secs // 3600 AS hour, user_id FROM pv), {g(cols='user_id', src='u')} SELECT url, granularity, bucket, count(DISTINCT user_id) AS uniques FROM g GROUP BY ALL"
+    intended = f"WITH {EV}, {DENSE}, {VISITS.format(src='d', gap=900)} SELECT * FROM v"
+    norm = f"regexp_extract(url, '{URL}', 1) || '://' || regexp_extract(url, '{URL}', 2) || regexp_extract(url, '{URL}', 3)"
+    dpv = "dpv AS (SELECT DISTINCT url, domain, coalesce(root, user_id) AS user_id, secs // 10 AS secs FROM pv LEFT JOIN roots ON node = user_id)"
+    stream = f"""WITH {EV}, {DENSE}, s AS (SELECT DISTINCT domain, user_id, secs FROM d),
+w AS (SELECT *, CASE WHEN secs - lag(secs) OVER o > 1800 THEN 1 ELSE 0 END AS cut FROM s WINDOW o AS (PARTITION BY domain, user_id ORDER BY secs)),
+n AS (SELECT domain, user_id, secs, sum(cut) OVER (PARTITION BY domain, user_id ORDER BY secs) AS k FROM w),
+v AS (SELECT domain, min(secs) AS a, max(secs) AS b FROM n GROUP BY domain, user_id, k)
+SELECT domain, count(*) AS visits, CAST(count(*) FILTER (WHERE a = b) AS BIGINT) AS bounces FROM v WHERE b + 1800 <= (SELECT max(secs) FROM s) GROUP BY domain"""
+    return {
+        "url_normalize": f"SELECT page_id, {norm} AS url FROM pages",
+        "url_normalize_strict": f"SELECT page_id, {norm} AS url FROM pages WHERE page_id % 7 <> 0",
+        "url_domain": "SELECT page_id, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS domain FROM pages",
+        "hour_buckets": f"WITH {EV} SELECT event_id, secs // 3600 AS bucket, CAST(trunc((86400 - secs) / 3600.0) AS BIGINT) AS negative_bucket FROM pv",
+        "granularity_rows": f"WITH {EV}, h AS (SELECT event_id AS url, secs // 3600 AS hour FROM pv), {g(cols='hour', src='h')} SELECT url AS event_id, granularity, bucket FROM g",
+        "view_extraction": f"WITH {EV} SELECT raw AS url, user_id, 2 AS person_tag, CAST(secs AS INTEGER) AS secs FROM pv",
+        "person_order": "WITH u AS (SELECT DISTINCT user_id, user_id % 10 AS g FROM events) SELECT g, CASE WHEN g < 5 THEN 1 ELSE 2 END AS tag, CASE WHEN g < 5 THEN min('ck' || user_id) END AS cookie, CASE WHEN g >= 5 THEN min(user_id) END AS user_id FROM u GROUP BY g",
+        "combined_aggregate": f"WITH {EV} SELECT raw AS url, count(*) AS n, CAST(count(*) FILTER (WHERE event_id % 3 = 0) AS BIGINT) AS total FROM pv GROUP BY raw",
+        "dedup_pageviews": f"WITH {EV} SELECT DISTINCT raw AS url, user_id, CAST(secs AS INTEGER) AS secs FROM pv",
+        "pageviews_hourly": f"WITH {EV} SELECT url, secs // 3600 AS bucket, count(*) AS pageviews FROM pv GROUP BY ALL",
+        "pageviews_over_time": over,
+        "uniques_hourly": f"WITH {EV} SELECT url, secs // 3600 AS bucket, count(DISTINCT user_id) AS uniques FROM pv GROUP BY ALL",
+        "uniques_over_time": uniq,
+        "bounces_intended": intended,
+        "bounces_literal": f"WITH {EV} SELECT domain, count(*) AS visits, count(*) AS bounces FROM pv GROUP BY domain",
+        "bounces_timed": f"WITH {EV}, {DENSE}, s AS (SELECT DISTINCT domain, user_id, secs FROM d), {VISITS.format(src='s', gap=1800)} SELECT * FROM v",
+        "equiv_bidirectional": "WITH u AS (SELECT DISTINCT user_id AS a FROM events WHERE user_id % 5 <> 4) SELECT a AS node, a + 1 AS other FROM u UNION ALL SELECT a + 1, a FROM u",
+        "equiv_step": f"WITH RECURSIVE {ROOTS.split('reach(')[0].rstrip().rstrip(',')}, m AS (SELECT n, least(n, min(o)) AS least, count(*) AS c FROM both_ GROUP BY n), x AS (SELECT n, o AS id FROM both_ UNION ALL SELECT n, n FROM m) SELECT m.least, x.id, (m.c + 1 > 2 AND m.n <> m.least) AS is_new FROM x JOIN m USING (n) WHERE x.id <> m.least",
+        "equiv_components": f"WITH RECURSIVE {ROOTS} SELECT node, root FROM roots",
+        "normalized_pageviews": f"WITH RECURSIVE {EV}, {ROOTS} SELECT url, coalesce(root, user_id) AS user_id, CAST(secs AS INTEGER) AS secs FROM pv LEFT JOIN roots ON node = user_id",
+        "split_targets": f"WITH {EV}, {UNITS} SELECT CASE WHEN unit <= 2 THEN unit || '/' || prop ELSE unit::VARCHAR END AS path, count(*) AS records FROM units GROUP BY ALL",
+        "valid_targets": "SELECT p AS path, CASE WHEN regexp_matches(p, '^1/[123](/.*)?$|^2/1(/.*)?$|^[34](/.*)?$') THEN TRUE ELSE FALSE END AS valid FROM UNNEST(['1/1', '1/2', '1/3', '1/4', '1', '2/1', '2/9', '3', '3/x/y', '4/anything', '9', 'x', '', '2', '1/x']) AS t(p)",
+        "record_validation": f"WITH {EV}, {UNITS} SELECT unit, count(*) AS n, CAST(count(*) FILTER (WHERE secs % 5 <> 0) AS BIGINT) AS valid FROM units WHERE once GROUP BY unit",
+        "store_ingest": f"WITH {EV}, {UNITS} SELECT unit, prop, count(*) AS records FROM units GROUP BY ALL",
+        "scan_unit": "SELECT DISTINCT user_id AS id1, user_id + 1 AS id2, 1000 AS secs FROM events WHERE user_id % 5 <> 4",
+        "scan_properties": f"WITH {EV}, {UNITS} SELECT unit, count(*) AS n, CAST(sum(CASE WHEN unit = 1 THEN id % 2 + 1 ELSE 0 END) AS BIGINT) AS genders, CAST(sum(CASE WHEN unit = 2 THEN id ELSE 0 END) AS BIGINT) AS views FROM units WHERE (unit = 1 AND prop = 2) OR unit = 2 GROUP BY unit",
+        "store_compact": f"WITH {EV}, {UNITS} SELECT unit, count(*) AS records FROM units GROUP BY unit",
+        "serving_pageviews": f"SELECT url || '/' || granularity || '-' || bucket AS key, lower(lpad(to_hex(total_pageviews), 16, '0')) AS value FROM ({over})",
+        "serving_bounces": f"SELECT domain AS key, lower(lpad(to_hex(visits), 16, '0') || lpad(to_hex(bounces), 16, '0')) AS value FROM ({intended})",
+        "serving_uniques": f"SELECT url || '/' || granularity || '-' || bucket AS key, uniques FROM ({uniq})",
+        "key_urls": f"SELECT url, CAST(sum(total_pageviews) AS BIGINT) AS total FROM ({over}) GROUP BY url",
+        "shard_index": "WITH h AS (SELECT page_id, CAST(list_reduce(list_prepend(0::HUGEINT, [ord(c)::HUGEINT FOR c IN string_split(url, '')]), lambda a, c: (a * 31 + c) % 4294967296) AS BIGINT) AS h FROM pages), s AS (SELECT page_id, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS h FROM h) SELECT page_id, CAST(h AS INTEGER) AS hash, CAST(((h % 32) + 32) % 32 AS INTEGER) AS shard FROM s",
+        "serving_export": f"SELECT url || '/' || granularity || '-' || bucket AS key, total_pageviews AS pageviews FROM ({over})",
+        "batch_workflow": f"""WITH RECURSIVE {EV}, {ROOTS}, {dpv}, {_counts('dpv')}, {g(cols='n', src='h')},
+u AS (SELECT DISTINCT url, secs // 3600 AS hour, user_id FROM dpv), {g(cols='user_id', src='u').replace('g AS', 'gu AS', 1)}, {VISITS.format(src='dpv', gap=900)}
+SELECT url || '/' || granularity || '-' || bucket AS key, 'pageviews' AS view, CAST(sum(n) AS BIGINT) AS value FROM g GROUP BY ALL
+UNION ALL SELECT url || '/' || granularity || '-' || bucket, 'uniques', count(DISTINCT user_id) FROM gu GROUP BY ALL
+UNION ALL SELECT domain, 'visits', visits FROM v UNION ALL SELECT domain, 'bounces', bounces FROM v""",
+        "stream_pageviews": f"WITH {EV} SELECT url, secs // 3600 AS bucket, count(*) AS pageviews FROM pv GROUP BY ALL",
+        "stream_uniques": f"WITH {EV} SELECT raw AS url, secs // 3600 AS bucket, count(DISTINCT user_id) AS uniques FROM pv GROUP BY ALL",
+        "stream_bounces": stream,
+        "keyed_state": f"WITH {EV} SELECT raw AS url, secs // 3600 AS bucket, count(*) AS n FROM pv GROUP BY ALL",
+    }
