@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import discard, materialise, work_dir  # noqa: F401
+
 #: A word, as every operator here counts them: a run without ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -31,41 +32,6 @@ def ship(spark: SparkSession) -> None:
     sc._clickloom_shipped = True
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder's name below spark.checkpoint.dir, which driver and executors share.
-
-    Where that is unset (tests, one machine) a local temporary folder stands in; a cluster
-    without the setting is refused, since its executors would not see one another's files.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "clickloom-checkpoints")
-    elif spark.sparkContext.master.startswith("local-cluster"):
-        pass
-    return f"{base.rstrip('/')}/clickloom-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = path or work_dir(spark)
-    df.write.mode("overwrite").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._clickloom_path = path
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Delete what materialise() wrote, once nothing reads it any more."""
-    path = getattr(df, "_clickloom_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def binary_text(name: str = "text") -> Column:
     """The UTF-8 bytes of a text column, null as empty."""
     return F.coalesce(F.encode(F.col(name), "UTF-8"), F.lit(b"")).alias(name)

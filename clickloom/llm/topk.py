@@ -10,6 +10,8 @@ vector of the others comes near enough. Scores are integers; bounds have slack f
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -157,23 +159,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, index: Index | None =
             far = norms[r] + top - 2 * s[-1] if len(s) == keep else np.inf
             yield [a for a in at[r, seen[r] : seen[r] + n] if bound[r, a] <= far * (1 + SLACK) + SLACK]
 
-    while True:
+    while waiting := state.count():
         n = take
 
-        def ask(batches, n=n):
-            from pyspark import TaskContext
-
-            part, count = 0, 0
+        def ask(batches, n=n, parts=-(-waiting // QUERY_ROWS)):
             for batch in batches:
                 v = matrix(batch.column("v"))
                 rows = [[], [], [], [], []]
                 for r, annuli in enumerate(open_annuli(v, batch.column("scores").to_pylist(), batch.column("seen").to_pylist(), n)):
-                    count += 1
-                    if count % QUERY_ROWS == 0:
-                        part += 1
+                    part = crc32(v[r].tobytes()) % parts
                     for a in annuli:
                         for c in range(chunks[a]):
-                            for x, y in zip(rows, (of[a], rings[a], c, TaskContext.get().partitionId() * 4096 + part % 4096, v[r])):
+                            for x, y in zip(rows, (of[a], rings[a], c, part, v[r])):
                                 x.append(y)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, asks)], schema=asks)
 
@@ -225,9 +222,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, index: Index | None =
         discard(wanted)
         finished.append(now.where("not more").drop("more"))
         state = now.where("more").drop("more")
-        if state.isEmpty():
-            break
         take = min(4 * take, len(directory))
+    if not finished:
+        return spark.createDataFrame([], result)
     answers = finished[0]
     for x in finished[1:]:
         answers = answers.union(x)
