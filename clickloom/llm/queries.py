@@ -57,7 +57,7 @@ def op8_chat_format(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     path = tokenizer_path("byte_bpe_50k.json")
     turns = turns.unionByName(spark.createDataFrame(PLANTED, "conv_id long, turn long, role string, text string"))
-    return chat.read_chats(materialise(chat.format_chats(turns, path)), path)
+    return chat.read_chats(materialise(chat.format_chats(turns, path)), path).drop("n_ids")
 
 
 def op9_url_filter(spark, sf_dir):
@@ -131,6 +131,25 @@ SELECT d.doc_id, d.size, p.source_size, p.target,
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN x ON d.source IS NOT DISTINCT FROM x.source
 """
 
+OP8 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), m AS (
+  SELECT *, role = 'assistant' AS loss,
+    length(text) + len(regexp_extract_all(text, '\\\\|</?s>|\[/?INST\]|<</?SYS>>|<\|role\|>|<\|text\|>')) + CASE role
+      WHEN 'user' THEN length('<s>[INST][/INST]') WHEN 'assistant' THEN length('</s>') WHEN 'system' THEN length('<<SYS>><</SYS>>')
+      ELSE length('<|role|><|text|></s>') + length(role) + len(regexp_extract_all(role, '\\\\|</?s>|\[/?INST\]|<</?SYS>>|<\|role\|>|<\|text\|>')) END AS chars
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE loss), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE loss), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
 OP9 = r"""
 WITH u AS (
   SELECT page_id,
@@ -152,4 +171,4 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host IN (SELECT host
 
 
 def oracle_sql():
-    return {"op2_exact_top_k": OP2, "op5_mix_sources": OP5, "op9_url_filter": OP9}
+    return {"op2_exact_top_k": OP2, "op5_mix_sources": OP5, "op8_chat_format": OP8, "op9_url_filter": OP9}
