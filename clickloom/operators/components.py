@@ -44,19 +44,20 @@ def connected_components(edges: DataFrame, cut: Cut, drop: Callable[[DataFrame],
         .select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b"))
         .distinct()
     )
-    for _ in range(rounds):
-        if now.isEmpty():
-            break
-        before = _print(now)
+    before = _print(now)
+    for _ in range(rounds if before[0] else 0):
         wide, used = _star(now, cut, large=True)
         drop(now)
         now, more = _star(wide, cut, large=False)
         for x in (*used, *more, wide):
             drop(x)
-        if _print(now) == before:
+        after = _print(now)
+        if after == before:
             break
+        before = after
     else:
-        raise RuntimeError(f"components did not settle within {rounds} rounds")
+        if before[0]:
+            raise RuntimeError(f"components did not settle within {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
