@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,20 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
     return df.mapInArrow(run, schema)
 
 
+def gather(entries: list[bytes], index: np.ndarray, cuts: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of entries[i] for each i of index, in one array, and where those of index[cuts] begin (with the end)."""
+    size = np.fromiter(map(len, entries), np.int32, len(entries)) // kind().itemsize
+    start = (np.cumsum(size) - size).astype(np.int32)
+    pool = np.frombuffer(b"".join(entries), kind)
+    n = size[index]
+    stops = np.cumsum(n, dtype=np.int64)
+    if not len(stops) or stops[-1] < 1 << 31:
+        stops = stops.astype(np.int32)
+    at = np.repeat(start[index] - (stops - n), n)
+    at += np.arange(len(at), dtype=at.dtype)
+    return pool[at], np.r_[stops[:0], np.zeros(1, stops.dtype), stops][cuts]
+
+
 def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

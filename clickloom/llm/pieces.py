@@ -10,22 +10,24 @@ are those of the best-scoring path, not of the merge order.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 from zlib import crc32
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import gather, map_rows
 
 SPACE = "▁"
 #: Penalty below the least score for a character that no piece covers (SentencePiece's value).
 UNKNOWN_PENALTY = 10.0
-#: Distinct words whose segmentation a worker remembers.
-REMEMBERED = 200_000
+#: Bytes of text that are encoded together: the more, the fewer of their words are distinct.
+TOGETHER = 10 << 20
 
 
 class Pieces:
@@ -45,6 +47,7 @@ class Pieces:
         kinds = pb.ModelProto.SentencePiece
         self.automaton = ahocorasick.Automaton()
         self.singles = set()
+        self.lengths = [len(p.piece) for p in model.pieces]
         self.bytes_of: list[bytes] = []
         self.byte_ids: dict[int, int] = {}
         self.unknown = 0
@@ -72,10 +75,11 @@ class Pieces:
         self.unknown_score = least - UNKNOWN_PENALTY
         #: No piece goes on past a word's start, so a text's best path is that of its words.
         self.splits = splits
-        self.memory: dict[str, bytes] = {}
 
     def viterbi(self, text: str) -> list[int]:
         """Ids of the best path through escaped text; of equal paths to a position, that with the longest last piece."""
+        if self.singles.issuperset(text):
+            return self._plain_viterbi(text)
         n = len(text)
         score = [0.0] + [None] * n
         came: list[tuple[int, int]] = [(0, 0)] * (n + 1)
@@ -112,35 +116,57 @@ class Pieces:
             end = start
         return ids[::-1]
 
-    def _words(self, words) -> bytes:
-        memory = self.memory
-        try:
-            return b"".join([memory[w] for w in words])
-        except KeyError:
-            pass
-        out = []
-        for w in words:
-            ids = memory.get(w)
-            if ids is None:
-                ids = np.array(self.viterbi(SPACE + w), np.int32).tobytes()
-                if len(w) <= 64:
-                    if len(memory) >= REMEMBERED:
-                        memory.clear()
-                    memory[w] = ids
-            out.append(ids)
-        return b"".join(out)
+    def _plain_viterbi(self, text: str) -> list[int]:
+        """viterbi() of a text whose characters are all pieces: every position is reached."""
+        n = len(text)
+        score = [0.0] + [float("-inf")] * n
+        came = [0] * (n + 1)
+        for last, (i, length, value) in self.automaton.iter(text):
+            last += 1
+            s = score[last - length] + value
+            if s > score[last]:
+                score[last], came[last] = s, i
+        ids, lengths = [], self.lengths
+        while n:
+            i = came[n]
+            ids.append(i)
+            n -= lengths[i]
+        ids.reverse()
+        return ids
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text; an empty text has none."""
         if not text:
             return np.zeros(0, np.int32)
-        words = text.split(" ")
-        if self.splits and self.dummy_prefix and SPACE not in text and "" not in words:
-            return np.frombuffer(self._words(words), np.int32)
         escaped = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
         chunks = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", escaped) if self.splits else [escaped]
         return np.array([i for c in chunks for i in self.viterbi(c)], np.int32)
 
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, none null, in one array, and where each text's begin (with the end).
+
+        Where no piece goes past a word's start, texts are cut at spaces and each distinct word
+        is searched once; texts with runs of spaces, or with the space's sign, go one by one.
+        """
+        if not len(texts) or not (self.splits and self.dummy_prefix):
+            each = [self.encode(t) for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, np.int32), *each]), np.r_[0, np.cumsum([len(x) for x in each], dtype=np.int64)]
+        parts = pc.split_pattern(texts, " ")
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        flat = parts.flatten()
+        odd = _odd(pc.match_substring(texts, SPACE), len(texts))
+        odd[np.searchsorted(offsets, np.flatnonzero(pc.binary_length(flat).to_numpy(zero_copy_only=False) == 0), "right") - 1] = True
+        plain = ~np.repeat(odd, np.diff(offsets))
+        coded = flat.filter(pa.array(plain)).dictionary_encode()
+        ids = [b"", *(array("i", self.viterbi(SPACE + w)).tobytes() for w in coded.dictionary.to_pylist())]
+        index = np.zeros(len(flat), np.int32)
+        index[plain] = coded.indices.to_numpy(zero_copy_only=False) + 1
+        for i in np.flatnonzero(odd):
+            index[offsets[i]] = len(ids)
+            ids.append(self.encode(texts[i].as_py()).tobytes())
+        return gather(ids, index, offsets, np.int32)
+
     def decode(self, ids) -> str:
         """The text of ids: byte pieces joined (bad sequences replaced), the dummy prefix taken off."""
         table = self.bytes_of
@@ -150,6 +176,10 @@ class Pieces:
         return out.decode("utf-8", "replace")
 
 
+def _odd(mask: pa.Array, n: int) -> np.ndarray:
+    return np.array(mask.to_numpy(zero_copy_only=False), bool).reshape(n)
+
+
 @lru_cache(maxsize=2)
 def pieces(model_file: str) -> Pieces:
     return Pieces(model_file)
@@ -169,21 +199,16 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
         low, high = (min(model.byte_ids.values()), max(model.byte_ids.values())) if model.byte_ids else (0, -1)
 
         def work(batch):
-            ids, n, fallback, crc, same = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
-                got = model.encode(text)
-                ids.append(got)
-                n.append(len(got))
-                fallback.append(int(((got >= low) & (got <= high)).sum()))
-                crc.append(crc32(got.astype("<u4").tobytes()))
-                same.append(model.decode(got.tolist()) == text)
-            ends = np.r_[0, np.cumsum(n)].astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            return {"doc_id": batch.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())), "n_ids": n, "n_bytes": fallback, "ids_crc32": crc, "round_trip": same}
+            flat, cuts = model.encode_batch(batch.column("text"))
+            spans = list(zip(cuts.tolist(), cuts[1:].tolist()))
+            falls = np.r_[0, np.cumsum((flat >= low) & (flat <= high))][cuts]
+            view, listed = memoryview(flat.astype("<u4")).cast("B"), flat.tolist()
+            same = [model.decode(listed[a:b]) == t for (a, b), t in zip(spans, batch.column("text").to_pylist())]
+            return {"doc_id": batch.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat, pa.int32())), "n_ids": np.diff(cuts).astype(np.int64), "n_bytes": np.diff(falls), "ids_crc32": [crc32(view[4 * a : 4 * b]) for a, b in spans], "round_trip": same}
 
         return work
 
-    return map_rows(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id long, ids array<int>, n_ids long, n_bytes long, ids_crc32 long, round_trip boolean", make)
+    return map_rows(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id long, ids array<int>, n_ids long, n_bytes long, ids_crc32 long, round_trip boolean", make, TOGETHER)
 
 
 def decode_documents(encoded: DataFrame, model_file: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, map_rows, materialise, ship, work_dir
+from .common import discard, gather, map_rows, materialise, ship, work_dir
 
 #: Tokens per block, but for documents that alone hold more.
 BLOCK = 1 << 18
@@ -158,18 +158,8 @@ class ChunkEncoder:
         heads = flat.take(pa.array(offsets[:-1])).to_pylist()
         ids += self._encoded([texts[i].as_py() if odd[i] else heads[i] for i in range(len(texts))])
 
-        index = index.reshape(-1)
-        size = np.fromiter(map(len, ids), np.int32, len(ids)) // self.type().itemsize
-        start = (np.cumsum(size) - size).astype(np.int32)
-        pool = np.frombuffer(b"".join(ids), self.type)
-        n = size[index]
-        stops = np.cumsum(n)
-        if stops[-1] < 1 << 31:
-            stops = stops.astype(np.int32)
-        at = np.repeat(start[index] - (stops - n), n)
-        at += np.arange(len(at), dtype=at.dtype)
-        out = pool[at]
-        cuts = np.r_[0, stops][2 * offsets].tolist()
+        out, cuts = gather(ids, index.reshape(-1), 2 * offsets, self.type)
+        cuts = cuts.tolist()
         return [out[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
