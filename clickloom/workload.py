@@ -66,8 +66,8 @@ def everything(spark: SparkSession, sf_dir: str, repeats: bool = True, dense: bo
 
 
 def fields(spark, sf_dir, dense=False):
-    """(url, person, secs) of normalised views."""
-    return batch.view_fields(batch.normalize_urls(page_views(spark, sf_dir, dense=dense)))
+    """(url, person, secs) of normalised views. Normalising after the extraction keeps its null filter on the raw URL."""
+    return batch.view_fields(page_views(spark, sf_dir, dense=dense)).withColumn("url", normalized_or_same(F.col("url")))
 
 
 # functions -----------------------------------------------------------------------------------
