@@ -29,17 +29,23 @@ TOGETHER = 10 << 20
 #: ASCII marks that end a chunk apart from the letters before them: the pattern always cuts between.
 MARKS = ".,;:!?%*#$&|"
 
+_MARKS = np.isin(np.arange(256), np.frombuffer(MARKS.encode(), np.uint8))
 _LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + 1
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit ranks."""
-    r = ranks.astype("<u4")
-    lengths = (1 + (r > 0xFF) + (r > 0xFFFF) + (r > 0xFFFFFF)).astype(np.uint8)
-    data = r.view(np.uint8).reshape(-1, 4)[np.arange(4) < lengths[:, None]]
+    r = ranks.astype(np.uint32)
     quads = np.zeros(-(-len(r) // 4) * 4, np.uint8)
-    quads[: len(r)] = lengths - 1
-    control = (quads.reshape(-1, 4) << (2 * np.arange(4, dtype=np.uint8))).sum(axis=1, dtype=np.uint8)
+    quads[: len(r)] = (r > 0xFF).view(np.uint8) + (r > 0xFFFF).view(np.uint8) + (r > 0xFFFFFF).view(np.uint8)
+    more = quads[: len(r)]
+    at = np.arange(len(r), dtype=np.int64) + np.cumsum(more, dtype=np.int64) - more
+    data = np.empty(int(at[-1]) + int(more[-1]) + 1 if len(r) else 0, np.uint8)
+    data[at] = r.astype(np.uint8)
+    for k in range(1, 4):
+        longer = np.flatnonzero(more >= k)
+        data[at[longer] + k] = (r[longer] >> np.uint32(8 * k)).astype(np.uint8)
+    control = quads[0::4] | quads[1::4] << 2 | quads[2::4] << 4 | quads[3::4] << 6
     return control.tobytes(), data.tobytes()
 
 
@@ -125,31 +131,33 @@ class ChunkEncoder:
         offsets = parts.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         flat = parts.flatten()
-        length = pc.binary_length(flat).to_numpy(zero_copy_only=False)
-        clean = (length > 0) & (pc.binary_length(pc.utf8_trim_whitespace(flat)).to_numpy(zero_copy_only=False) == length)
+        stops = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + 1 + len(flat)] if len(flat) else np.zeros(1, np.int32)
+        data = np.r_[np.zeros(8, np.uint8), np.frombuffer(flat.buffers()[2] or b"", np.uint8), np.zeros(1, np.uint8)]
+        starts, ends = stops[:-1] + 8, stops[1:] + 8
+        first, last = data[starts], data[ends - 1]
         odd = np.zeros(len(texts), bool)
-        odd[np.searchsorted(offsets, np.flatnonzero(~clean), "right") - 1] = True
+        odd[np.searchsorted(offsets, np.flatnonzero(_spaced(flat, starts == ends, first, last)), "right") - 1] = True
         later = ~np.repeat(odd, np.diff(offsets))
         later[offsets[:-1]] = False
 
         # letters and the marks after them apart, where that is a cut; entry 0 is empty
-        bodies = pc.utf8_rtrim(flat, MARKS)
-        tail = length - pc.binary_length(bodies).to_numpy(zero_copy_only=False)
-        tail[tail > 8] = 0
-        ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset + 1 : flat.offset + 1 + len(flat)]
-        data = np.r_[np.zeros(8, np.uint8), np.frombuffer(flat.buffers()[2] or b"", np.uint8)]
-        marked = np.flatnonzero(later & (tail > 0))
-        last = _last_letters(bodies.take(pa.array(marked)))
-        marked = marked[last]
-        units = pc.if_else(pa.array(_flags(len(flat), marked)), bodies, flat).filter(pa.array(later)).dictionary_encode()
+        marked = np.flatnonzero(later & _MARKS[last])
+        bodies = pc.utf8_rtrim(flat.take(pa.array(marked)), MARKS)
+        tail = (ends - starts)[marked] - pc.binary_length(bodies).to_numpy(zero_copy_only=False)
+        cut = _last_letters(bodies) & (tail <= 8)
+        marked, tail, bodies = marked[cut], tail[cut], bodies.filter(pa.array(cut))
+        later[marked] = False
+        units = pa.concat_arrays([flat.filter(pa.array(later)), bodies]).dictionary_encode()
+        which = units.indices.to_numpy(zero_copy_only=False) + 1
         ids = [b"", *self._ids(units.dictionary.to_pylist())]
         index = np.zeros((len(flat), 2), np.int32)
-        index[later, 0] = units.indices.to_numpy(zero_copy_only=False) + 1
+        index[later, 0] = which[: len(which) - len(marked)]
+        index[marked, 0] = which[len(which) - len(marked) :]
         if len(marked):
             codes = np.zeros(len(marked), np.uint64)
-            for k in range(8):
-                has = tail[marked] > k
-                codes[has] |= data[ends[marked[has]] + 7 - k].astype(np.uint64) << np.uint64(8 * k)
+            for k in range(int(tail.max())):
+                has = tail > k
+                codes[has] |= data[ends[marked[has]] - 1 - k].astype(np.uint64) << np.uint64(8 * k)
             known, which = np.unique(codes, return_inverse=True)
             index[marked, 1] = which + len(ids)
             ids += [self.whole(int(x).to_bytes(8, "big").lstrip(b"\0").decode()) for x in known]
@@ -163,9 +171,13 @@ class ChunkEncoder:
         return [out[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
-def _flags(n: int, at: np.ndarray) -> np.ndarray:
-    out = np.zeros(n, bool)
-    out[at] = True
+def _spaced(words: pa.Array, empty: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether each word is empty or has white space at an end; words that begin and end in printing ASCII need no look."""
+    ascii_ends = (first > 0x20) & (first < 0x80) & (last > 0x20) & (last < 0x80)
+    out = empty.copy()
+    look = np.flatnonzero(~ascii_ends & ~empty)
+    some = words.take(pa.array(look))
+    out[look] = pc.binary_length(pc.utf8_trim_whitespace(some)).to_numpy(zero_copy_only=False) != pc.binary_length(some).to_numpy(zero_copy_only=False)
     return out
 
 

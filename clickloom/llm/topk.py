@@ -237,11 +237,12 @@ def top_products(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFram
     """query_id, rank, vec_id, score: queries are the rows whose vec_id is divisible by `every`.
 
     embeddings: (vec_id, embedding), other columns are ignored. Vectors null, empty, or holding
-    a null or non-finite component take no part, nor do rows with null vec_id, which nothing could
-    name. Vectors must have one length. An id that occurs twice is one candidate per distinct
-    vector of it; a query never finds its own id. An empty table gives no rows.
+    a null or non-finite component take no part, nor do rows with null vec_id, which nothing
+    could name. Shorter vectors count as zero in the components they lack. An id that occurs
+    twice is one candidate per distinct vector of it; a query never finds its own id. An empty
+    table gives no rows.
     """
-    clean = materialise(
-        embeddings.select(F.col("vec_id").alias("id"), whole_numbers(F.col("embedding")).alias("v")).where("id is not null and v is not null and size(v) > 0").select("id", "v").distinct()
-    )
+    whole = embeddings.select(F.col("vec_id").alias("id"), whole_numbers(F.col("embedding")).alias("v")).where("id is not null and v is not null and size(v) > 0")
+    longest = embeddings.agg(F.max(F.size("embedding"))).first()[0] or 0
+    clean = materialise(whole.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(longest) - F.size("v")))).distinct())
     return search(clean, clean.where(F.col("id") % every == 0), k)

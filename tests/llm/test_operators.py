@@ -86,6 +86,11 @@ def test_top_k_few(spark):
     assert [tuple(r) for r in sorted(got)] == [(0, 1, 1, 32768), (0, 2, 2, 32768)]
 
 
+def test_top_k_lengths(spark):
+    got = topk.top_products(spark.createDataFrame([(0, [1.0, 1.0, 1.0]), (1, [0.5]), (2, [0.25, 0.5]), (3, [])], "vec_id long, embedding array<double>")).collect()
+    assert [tuple(r) for r in sorted(got)] == [(0, 1, 2, 49152), (0, 2, 1, 32768)]
+
+
 # 3 quality rules
 def base(text):
     words = WORD.findall(text)
