@@ -14,22 +14,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Cut = Callable[[DataFrame], DataFrame]
+#: Materialises a DataFrame into at most so many files (None: as they come) and cuts its lineage.
+Cut = Callable[[DataFrame, int | None], DataFrame]
+#: Edges of one file: small graphs are written by few tasks.
+FILE_EDGES = 100_000
 
 
-def _star(edges: DataFrame, cut: Cut, large: bool) -> tuple[DataFrame, list[DataFrame]]:
+def _star(edges: DataFrame, cut: Cut, large: bool, files: int) -> tuple[DataFrame, list[DataFrame]]:
     """edges: (a, b) with a > b, distinct. One large-star or small-star step over them."""
     if large:
         both = edges.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))))
     else:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), files)
     joined = both.join(least.withColumnRenamed("u", "k"), F.col("u") == F.col("k"))
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return cut(out.where("a <> b").distinct()), [least]
+    return cut(out.where("a <> b").distinct(), files), [least]
 
 
 def connected_components(edges: DataFrame, cut: Cut, drop: Callable[[DataFrame], None] = lambda df: None, rounds: int = 100) -> DataFrame:
@@ -42,13 +45,15 @@ def connected_components(edges: DataFrame, cut: Cut, drop: Callable[[DataFrame],
     now = cut(
         edges.where(F.col(left) != F.col(right))
         .select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b"))
-        .distinct()
+        .distinct(),
+        None,
     )
     before = _print(now)
     for _ in range(rounds if before[0] else 0):
-        wide, used = _star(now, cut, large=True)
+        files = 1 + before[0] // FILE_EDGES
+        wide, used = _star(now, cut, True, files)
         drop(now)
-        now, more = _star(wide, cut, large=False)
+        now, more = _star(wide, cut, False, files)
         for x in (*used, *more, wide):
             drop(x)
         after = _print(now)

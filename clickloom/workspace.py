@@ -23,11 +23,14 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/clickloom-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
+def materialise(df: DataFrame, files: int | None = None, codec: str = "snappy") -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    files: at most so many, for tables known to be small; their last stage then has as few tasks.
+    """
     spark = df.sparkSession
-    path = path or work_dir(spark)
-    df.write.mode("overwrite").parquet(path)
+    path = work_dir(spark)
+    (df.coalesce(files) if files else df).write.mode("overwrite").option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._clickloom_path = path
     return out
