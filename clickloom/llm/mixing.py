@@ -21,6 +21,8 @@ from .common import WORD_PATTERN, discard, materialise
 HASH_BITS, LEVEL_BITS = 60, 10
 #: Sources up to which their thresholds are broadcast; beyond, they are joined by an exchange.
 BROADCAST_SOURCES = 20_000
+#: Sources up to which a table of them is written by one task.
+FEW_SOURCES = 200
 
 
 def size_of(text: str = "text") -> Column:
@@ -66,10 +68,12 @@ def thresholds(rows: DataFrame, goal: DataFrame) -> DataFrame:
     rows: (source, size, h); goal: targets(). Of the two hash values around the budget the one
     that comes nearer to it wins, the lower at equal distance; rows of one hash go together.
     """
+    files = 1 if goal.count() <= FEW_SOURCES else None
     state = materialise(
         goal.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
         .withColumn("need", F.col("target") - F.col("passes") * F.col("source_size"))
-        .withColumn("low", F.lit(0).cast("long")).withColumn("taken", F.lit(0).cast("long")).withColumn("last", F.lit(0).cast("long"))
+        .withColumn("low", F.lit(0).cast("long")).withColumn("taken", F.lit(0).cast("long")).withColumn("last", F.lit(0).cast("long")),
+        files,
     )
     bits, narrowed = HASH_BITS, None
     while bits > 0:
@@ -92,13 +96,14 @@ def thresholds(rows: DataFrame, goal: DataFrame) -> DataFrame:
         new = state.join(crossed, F.col("source").eqNullSafe(F.col("s")), "left")
         then = materialise(
             new.withColumn("low", F.coalesce(F.shiftleft(F.col("x.bucket"), bits), "low"))
-            .withColumn("taken", F.coalesce(F.col("x.run") - F.col("x.n"), "taken")).withColumn("last", F.coalesce(F.col("x.n"), "last")).drop("s", "x")
+            .withColumn("taken", F.coalesce(F.col("x.run") - F.col("x.n"), "taken")).withColumn("last", F.coalesce(F.col("x.n"), "last")).drop("s", "x"),
+            files,
         )
         discard(state)
         state = then
     # low is one hash value now: rows below it come to taken, with it to taken + last
     extra = (F.col("need") > 0) & (F.abs(F.col("taken") + F.col("last") - F.col("need")) < F.abs(F.col("need") - F.col("taken")))
-    return materialise(state.select("source", "source_size", "target", "passes", F.when(F.col("need") > 0, F.col("low") + extra.cast("long")).otherwise(F.lit(0)).cast("long").alias("below")))
+    return materialise(state.select("source", "source_size", "target", "passes", F.when(F.col("need") > 0, F.col("low") + extra.cast("long")).otherwise(F.lit(0)).cast("long").alias("below")), files)
 
 
 def _with(rows: DataFrame, per_source: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ SPACE = "▁"
 #: Penalty below the least score for a character that no piece covers (SentencePiece's value).
 UNKNOWN_PENALTY = 10.0
 #: Bytes of text that are encoded together: the more, the fewer of their words are distinct.
-TOGETHER = 10 << 20
+TOGETHER = 3 << 20
 
 
 class Pieces:

@@ -25,7 +25,7 @@ from .common import discard, gather, map_rows, materialise, ship, work_dir
 #: Tokens per block, but for documents that alone hold more.
 BLOCK = 1 << 18
 #: Bytes of text that are encoded together: the more, the fewer of their chunks are distinct.
-TOGETHER = 10 << 20
+TOGETHER = 8 << 20
 #: ASCII marks that end a chunk apart from the letters before them: the pattern always cuts between.
 MARKS = ".,;:!?%*#$&|"
 
@@ -221,7 +221,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
     if end_id >= (1 << 16 if small else 1 << 32):
         raise ValueError("the end id doesn't fit the vocabulary's integers")
     kind = np.uint16 if small else np.uint32
-    rows = materialise(encode_rows(docs, tokenizer_file, end_id))
+    rows = materialise(encode_rows(docs, tokenizer_file, end_id), codec="zstd")
     most = max(vocabulary, end_id + 1)
 
     def count(batches):
