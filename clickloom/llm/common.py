@@ -17,11 +17,18 @@ from ..workspace import discard, materialise, work_dir  # noqa: F401
 
 #: A word, as every operator here counts them: a run without ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Bytes of one Arrow batch to Python, unless the session sets its own: executors hold a few batches per task outside the heap.
+BATCH_BYTES, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors once per Spark context."""
+    """Give this package to the executors once per Spark context, and bound the session's Arrow batches by bytes.
+
+    Spark's own bounds are 10,000 rows and 64 MB, and growing buffers double on the way there.
+    """
     sc = spark.sparkContext
+    if sc.getConf().get(BATCH_SETTING) is None and spark.conf.get(BATCH_SETTING) == f"{64 << 20}b":
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
     if getattr(sc, "_clickloom_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -84,6 +91,6 @@ def slices(batch: pa.RecordBatch, piece_bytes: int) -> Iterator[pa.RecordBatch]:
     n = batch.num_rows
     if not n:
         return
-    step = max(1, int(n * piece_bytes / max(1, batch.nbytes)))
+    step = -(-n // max(1, round(batch.nbytes / piece_bytes)))
     for i in range(0, n, step):
         yield batch.slice(i, min(step, n - i))
