@@ -22,6 +22,8 @@ from ..operators.components import connected_components
 from .common import binary_text, discard, map_rows, materialise, ship
 
 DISTANCE = 2
+#: MinHash bands of near_copies(), and MinHashes in each.
+BANDS, BAND_ROWS = 20, 5
 #: Rows of a cell that are held at once, and comparisons in it, beyond which it is refined.
 CELL_ROWS, CELL_PAIRS = 100_000, 8_000_000
 
@@ -280,17 +282,89 @@ def links(distinct: DataFrame, segments: int | None = None) -> DataFrame:
     return out
 
 
-def near_groups(docs: DataFrame, shingle: int = 3, segments: int | None = None) -> DataFrame:
+def shingle_set(text: bytes, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct XXH64 hashes of a text's word shingles, sorted; a shorter text is one shingle."""
+    words = text.lower().split()
+    parts = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[k:] for k in range(shingle))))
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, seed) for x in parts], np.uint64))
+
+
+def min_hashes(hashes: np.ndarray, n: int = BANDS * BAND_ROWS) -> np.ndarray:
+    """The least value of hashes under each of n fixed multiply-add permutations."""
+    rnd = np.random.default_rng(42)
+    a, b = rnd.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), rnd.integers(0, 1 << 63, n, np.uint64)
+    out = np.full(n, np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), 4096):
+        out = np.minimum(out, (hashes[i : i + 4096, None] * a + b).min(axis=0))
+    return out
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """Links (a, b) between fingerprints of texts whose word shingles have at least that Jaccard similarity.
+
+    Candidates share one of BANDS bands of BAND_ROWS MinHashes (a pair at 0.8 shares one with
+    probability 0.9996); each is then checked exactly over the whole sets. Equal texts meet once.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.md5(binary_text()).alias("k"), binary_text())
+
+    def make():
+        def work(batch):
+            keys, fps = [], []
+            for t in batch.column("text").to_pylist():
+                rows = min_hashes(shingle_set(t, shingle)).reshape(BANDS, BAND_ROWS)
+                keys.append([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)])
+                fps.append(fingerprint(t))
+            bands = pa.array(np.array(keys, np.uint64).reshape(-1).view(np.int64))
+            return {"k": batch.column("k"), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "bands": pa.ListArray.from_arrays(np.arange(len(fps) + 1, dtype=np.int32) * BANDS, bands)}
+
+        return work
+
+    def sets():
+        def work(batch):
+            return {"k": batch.column("k"), "hashes": [shingle_set(t, shingle).tobytes() for t in batch.column("text").to_pylist()]}
+
+        return work
+
+    rows = materialise(map_rows(texts, "k string, fp long, bands array<long>", make).dropDuplicates(["k"]).select("k", "fp", F.explode("bands").alias("band")))
+    shared = materialise(rows.groupBy("band").count().where("count > 1").select("band"))
+    held = materialise(rows.join(shared, "band"))
+    other = held.select("band", F.col("k").alias("k2"), F.col("fp").alias("b"))
+    pairs = materialise(held.withColumnRenamed("fp", "a").join(other, "band").where("k < k2").select("k", "k2", "a", "b").distinct())
+    named = pairs.select("k").union(pairs.select("k2")).distinct()
+    found = materialise(map_rows(texts.join(named, "k", "left_semi").dropDuplicates(["k"]), "k string, hashes binary", sets))
+    both = pairs.join(found, "k").join(found.select(F.col("k").alias("k2"), F.col("hashes").alias("hashes2")), "k2")
+
+    def check():
+        def work(batch):
+            ok = []
+            for x, y in zip(batch.column("hashes").to_pylist(), batch.column("hashes2").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(n >= similarity * (len(x) + len(y) - n))
+            keep = pa.array(ok, pa.bool_())
+            return {"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)}
+
+        return work
+
+    ship(spark)
+    return materialise(map_rows(both.select("a", "b", "hashes", "hashes2"), "a long, b long", check).where("a <> b").distinct())
+
+
+def near_groups(docs: DataFrame, shingle: int = 3, segments: int | None = None, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) per row of docs (doc_id, text; other columns are ignored).
 
     Documents of one fingerprint are one class; classes within two bits are linked, and
     component_id is the least doc_id reachable. Null text is empty; empty texts have
     fingerprint 0, linked like any other. Rows with null doc_id link others but give no
     component number: a component of such rows alone has null. An empty table gives no rows.
+    With a similarity, classes holding near_copies() of that similarity are linked as well.
     """
     fps = materialise(fingerprints(docs, shingle))
     classes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     edges = links(classes.select("fp"), segments)
+    if similarity is not None:
+        edges = edges.union(near_copies(docs, similarity))
     stars = connected_components(edges, materialise, discard)
     rooted = materialise(classes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
     least = materialise(rooted.groupBy("root").agg(F.min("rep").alias("component_id")))
@@ -303,13 +377,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one document of each near-duplicate group, the one of least doc_id.
+def keep_first(docs: DataFrame, similarity: float | None = None) -> DataFrame:
+    """docs with one document of each near-duplicate group, the one of least doc_id; see near_groups() for similarity.
 
     Rows that repeat a doc_id are copies too: one of them stays. Rows with null doc_id all stay,
     since nothing names the one to keep.
     """
-    groups = near_groups(docs)
+    groups = near_groups(docs, similarity=similarity)
     gone = materialise(groups.where("doc_id <> component_id").select("doc_id").distinct())
     named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
     counted = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")

@@ -282,6 +282,21 @@ def test_simhash(spark, sf):
     assert simhash.near_duplicates(docs(spark, [])).collect() == []
 
 
+def test_near_copies(spark):
+    """A copy with every 60th word changed is 0.8 similar or more, but further than two bits away."""
+    rnd = random.Random(3)
+    words = [f"w{rnd.randrange(5000)}" for _ in range(400)]
+    copies = [[*words], [f"x{k}" if k % 60 == 7 else w for k, w in enumerate(words)], [f"y{k}" if k % 12 == 7 else w for k, w in enumerate(words)]]
+    rows = [(k, " ".join(w), "s") for k, w in enumerate(copies)] + [(3, "", "s"), (4, "one two", "s"), (5, "One  two", "s"), (6, None, "s")]
+    sets = [set(zip(*(w[k:] for k in range(5)))) for w in copies]
+    similar = [len(sets[0] & s) / len(sets[0] | s) for s in sets]
+    assert similar[1] >= 0.8 > similar[2]
+    kept = lambda **x: sorted(r.doc_id for r in simhash.keep_first(docs(spark, rows), **x).collect())
+    assert kept() == [0, 1, 2, 3, 4]
+    assert kept(similarity=0.8) == [0, 2, 3, 4]
+    assert simhash.near_copies(docs(spark, [])).collect() == []
+
+
 @pytest.mark.parametrize("segments", [8, 16, 32, 64])
 def test_links(spark, segments, monkeypatch):
     rnd = random.Random(segments)
