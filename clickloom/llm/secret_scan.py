@@ -21,7 +21,7 @@ HINT = re.compile(rb"pass|secret|token|api", re.I)
 
 #: An assignment's operator; the name before it, read backwards; the value after it.
 OPERATOR = re.compile(rb":=|=>|=(?!=)|:(?![:/])")
-NAME_BACKWARDS = re.compile(rb"""[\x20\t]*["']?([A-Za-z0-9_$.\-]{1,128})""")
+NAME_BACKWARDS = re.compile(rb"""[\x20\t]*["']?([A-Za-z0-9_$.\-]+)""")
 VALUE = re.compile(
     rb"""[\x20\t]*(?P<value>(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[A-Za-z_$][A-Za-z0-9_$.]*)"""
     rb"""(?:[\x20\t]*[+.][\x20\t]*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_$][A-Za-z0-9_$]*))*)"""
@@ -35,9 +35,39 @@ HARMLESS = {b"public": -2.0, b"name": -1.5, b"url": -2.0, b"path": -1.5, b"file"
 PLACEHOLDER = re.compile(rb"(?i)^(?:x+|\*+|\.+|changeme|example|none|null|true|false|todo|your[_-].*|<.*>|\$\{.*\}|\{\{.*\}\})$")
 
 
-def entropy(value: bytes) -> float:
-    n = len(value)
-    return -sum(c / n * log2(c / n) for c in Counter(value).values()) if n else 0.0
+class Value:
+    """What scores need of a value, however often its parts repeat: size, byte counts, both ends.
+
+    parts: byte spans and the values of constants, shared and not copied. A value of up to 16
+    bytes is its head.
+    """
+
+    __slots__ = ("parts", "size", "counts", "head", "tail")
+
+    def __init__(self, parts: list, pieces: list):
+        self.parts, self.size, self.counts, self.head, self.tail = parts, 0, Counter(), b"", b""
+        for x in pieces:
+            if isinstance(x, bytes):
+                n, head, tail = len(x), x, x
+                self.counts.update(x)
+            else:
+                n, head, tail = x.size, x.head, x.tail
+                self.counts.update(x.counts)
+            if self.size < 16:
+                self.head = (self.head + head)[:16]
+            self.tail = (self.tail + tail)[-16:]
+            self.size += n
+        if self.size >> 300:  # doubled hundreds of times: shares are all that matter
+            self.counts = Counter({k: max(1, v >> 200) for k, v in self.counts.items()})
+            self.size = sum(self.counts.values())
+
+    def placeholder(self) -> bool:
+        """Every placeholder shape asks for both ends and, in between, for certain bytes alone."""
+        return bool(PLACEHOLDER.match(self.head if self.size <= 16 else self.head + bytes(self.counts) + self.tail))
+
+
+def entropy(counts: Counter, n: int) -> float:
+    return -sum(c / n * log2(c / n) for c in counts.values()) if n else 0.0
 
 
 def name_score(name: bytes) -> float:
@@ -46,52 +76,73 @@ def name_score(name: bytes) -> float:
     return sum(SENSITIVE.get(p, 0.0) + HARMLESS.get(p, 0.0) for p in {*parts, *joined})
 
 
-def literal_score(name: bytes, value: bytes) -> float:
+def literal_score(name: bytes, value: Value) -> float:
     """The name's score plus what the literal adds: length and entropy; placeholders lose all."""
-    if len(value) < 6 or PLACEHOLDER.match(value):
+    if value.size < 6 or value.placeholder():
         return 0.0
     named = name_score(name)
-    return named + min(2.0, entropy(value) / 2) + (0.5 if len(value) >= 16 else 0.0) if named > 0 else 0.0
+    return named + min(2.0, entropy(value.counts, value.size) / 2) + (0.5 if value.size >= 16 else 0.0) if named > 0 else 0.0
+
+
+def name_before(text: bytes, at: int) -> bytes | None:
+    """The whole name token that ends at an operator."""
+    n = 160
+    while True:
+        window = text[max(0, at - n) : at][::-1]
+        m = NAME_BACKWARDS.match(window)
+        if n >= at or len(window.lstrip(b" \t")) > 1 and (not m or m.end() < len(window)):
+            return m and m[1][::-1]
+        n *= 2
 
 
 def lexed(text: bytes, least: float) -> list[tuple[int, int]]:
     """Byte spans of literals whose target's score reaches least.
 
     A constant keeps the spans and value of its literals; a name assigned from constants, or
-    from literals joined by + or ., inherits them, and its own name scores them anew.
+    from literals joined by + or ., inherits them, and its own name scores them anew. However
+    many literals make up a value, all of them are found.
     """
     if b"=" not in text and b":" not in text:
         return []
-    constants: dict[bytes, tuple[bytes, tuple[tuple[int, int], ...]]] = {}
+    constants: dict[bytes, Value] = {}
     found: set[tuple[int, int]] = set()
+    collected: set[int] = set()
+    kept: list[Value] = []  # keeps the ids in collected from being given again
     end = 0
     for op in OPERATOR.finditer(text):
         if op.start() < end:
             continue
-        before = NAME_BACKWARDS.match(text[max(0, op.start() - 160) : op.start()][::-1])
-        m = before and VALUE.match(text, op.end())
+        name = name_before(text, op.start())
+        m = name and VALUE.match(text, op.end())
         if not m:
             continue
-        name, end = before[1][::-1].lstrip(b".-0123456789"), m.end()
-        value, spans, quoted = [], [], False
+        name, end = name.lstrip(b".-0123456789"), m.end()
+        parts, pieces = [], []
         base = m.start("value")
         for t in TERM.finditer(m["value"]):
             if t[4] is None:
                 k = t.lastindex
-                value.append(t[k])
-                spans.append((base + t.start(k), base + t.end(k)))
-                quoted = True
+                pieces.append(t[k])
+                parts.append((base + t.start(k), base + t.end(k)))
             elif t[4] in constants:
-                v, s = constants[t[4]]
-                value.append(v)
-                spans += s
-                quoted = True
-        if not quoted:
+                pieces.append(constants[t[4]])
+                parts.append(constants[t[4]])
+        if not parts:
             continue
-        whole, kept = b"".join(value), tuple(dict.fromkeys(spans))[:64]
-        constants[name] = (whole, kept)
-        if literal_score(name, whole) >= least:
-            found.update(x for x in kept if x[0] < x[1])
+        value = constants[name] = Value(parts, pieces)
+        if literal_score(name, value) >= least:
+            todo = [value]
+            while todo:
+                v = todo.pop()
+                if id(v) in collected:
+                    continue
+                collected.add(id(v))
+                kept.append(v)
+                for x in v.parts:
+                    if isinstance(x, Value):
+                        todo.append(x)
+                    elif x[0] < x[1]:
+                        found.add(x)
     return sorted(found)
 
 

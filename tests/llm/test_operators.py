@@ -462,6 +462,21 @@ def test_assignments():
     assert secret_scan.redact_text(text) == 'é api_secret => "[SECRET]" end'
 
 
+def test_long_assignments():
+    """All literals of a long value are found, and the whole name is scored."""
+    def literals(text):
+        return [text[a:b] for a, b, k in secret_scan.scan(text.encode()) if k == "literal"]
+
+    pieces = [f"q{k:03d}Z" for k in range(200)]
+    assert literals("password = " + " + ".join(f'"{x}"' for x in pieces)) == pieces
+    grown = 's = ""\n' + "".join(f's = s + "{x}"\n' for x in pieces) + "client_secret = s"
+    assert literals(grown) == pieces
+    doubled = 'a = "Zx9!"\n' + "a = a + a\n" * 3000 + "password = a"
+    assert literals(doubled) == ["Zx9!"]
+    assert literals(f'password_{"a" * 200} = "Zx9!qqW7#e"') == ["Zx9!qqW7#e"]
+    assert literals('password = "<" + "' + "long " * 9 + '" + ">"') == []
+
+
 def test_redact(spark):
     df = docs(spark, [(1, "token = abcdefabcdef0123 é", "s"), (2, None, "s"), (3, "clean", "s")])
     got = {r.doc_id: (r.text, r.n_chars) for r in secret_scan.redact(df).collect()}
