@@ -22,11 +22,23 @@ HINT = re.compile(rb"pass|secret|token|api", re.I)
 #: An assignment's operator; the name before it, read backwards; the value after it.
 OPERATOR = re.compile(rb":=|=>|=(?!=)|:(?![:/])")
 NAME_BACKWARDS = re.compile(rb"""[\x20\t]*["']?([A-Za-z0-9_$.\-]+)""")
+PREFIX = rb"(?:[A-Za-z][A-Za-z0-9]?|[@$]{1,2})?"  # of a string: b, rb, f, u8, @, ...
+STRING = rb"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
 VALUE = re.compile(
-    rb"""[\x20\t]*(?P<value>(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[A-Za-z_$][A-Za-z0-9_$.]*)"""
-    rb"""(?:[\x20\t]*[+.][\x20\t]*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_$][A-Za-z0-9_$]*))*)"""
+    rb"[\x20\t]*(?P<value>(?:" + PREFIX + STRING + rb"|`[^`\n]*`|[A-Za-z_$][A-Za-z0-9_$.]*)"
+    rb"(?:[\x20\t]*[+.][\x20\t]*(?:" + PREFIX + STRING + rb"|[A-Za-z_$][A-Za-z0-9_$]*))*)"
 )
-TERM = re.compile(rb""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z_$][A-Za-z0-9_$.]*)""")
+TERM = re.compile(PREFIX + rb"""(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)')|`([^`\n]*)`|([A-Za-z_$][A-Za-z0-9_$.]*)""")
+#: A type between a name's colon and its "=": str, &'static str, Option<&str>, list[str] | None, string?.
+_TYPE = rb"(?:&[\x20\t]*+(?:'[a-z_]+[\x20\t]++)?)?(?:(?:mut|dyn|const|readonly)[\x20\t]++)?(?:[A-Za-z_][A-Za-z0-9_.]*+(?:::[A-Za-z0-9_]++)*+)?(?:<[^=;\n\"]{1,200}>|\[[^=\n\"]{0,200}\])*+[?!]?"
+ANNOTATION = re.compile(rb"[\x20\t]*+" + _TYPE + rb"(?:[\x20\t]*+\|[\x20\t]*+" + _TYPE + rb")*+[\x20\t]*+=(?![=>])")
+#: What precedes the name in a configuration-shaped line; its unquoted value, up to white space.
+LINE_START = re.compile(rb"""[\x20\t]*(?:(?:export|set|setx|ENV|ARG)[\x20\t]+|-[\x20\t]+)?["']?\Z""")
+BARE = re.compile(rb"""[\x20\t]*([^\s"'`]+)(?=\s|\Z)""")
+ENV_NAME = re.compile(rb"[A-Z_][A-Z0-9_]*\Z")
+#: Unquoted text that is code rather than a value: a call or index, a variable; words and dotted names.
+CODE = re.compile(rb"[A-Za-z_$][A-Za-z0-9_$.]*[(\[{].*\Z|\$[A-Za-z_][A-Za-z0-9_]*\Z|[(\[{].*\Z|\$\(.*\Z", re.S)
+WORDS = re.compile(rb"[A-Za-z_.]+\Z|[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)+\Z")
 NAME_PART = re.compile(rb"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 #: Name parts that mark a sensitive target, with their scores; parts that take it back.
@@ -84,23 +96,39 @@ def literal_score(name: bytes, value: Value) -> float:
     return named + min(2.0, entropy(value.counts, value.size) / 2) + (0.5 if value.size >= 16 else 0.0) if named > 0 else 0.0
 
 
-def name_before(text: bytes, at: int) -> bytes | None:
-    """The whole name token that ends at an operator."""
+def name_before(text: bytes, at: int) -> tuple[int, int] | None:
+    """The span of the whole name token that ends at an operator."""
     n = 160
     while True:
         window = text[max(0, at - n) : at][::-1]
         m = NAME_BACKWARDS.match(window)
         if n >= at or len(window.lstrip(b" \t")) > 1 and (not m or m.end() < len(window)):
-            return m and m[1][::-1]
+            return m and (at - m.end(1), at - m.start(1))
         n *= 2
 
 
+def bare_value(text: bytes, line: int, op: re.Match, name: tuple[int, int]) -> tuple[int, int] | None:
+    """The span of the unquoted value of an operator on a configuration-shaped line."""
+    if not LINE_START.match(text, line, name[0]) or not (m := BARE.match(text, op.end())):
+        return None
+    value = m[1].rstrip(b",;")
+    shell = op[0] == b"=" and name[1] == op.start() and op.end() == m.start(1) and ENV_NAME.match(text, *name)
+    if not value or CODE.match(value) or not shell and WORDS.match(value):
+        return None
+    return m.start(1), m.start(1) + len(value)
+
+
 def lexed(text: bytes, least: float) -> list[tuple[int, int]]:
     """Byte spans of literals whose target's score reaches least.
 
     A constant keeps the spans and value of its literals; a name assigned from constants, or
     from literals joined by + or ., inherits them, and its own name scores them anew. However
-    many literals make up a value, all of them are found.
+    many literals make up a value, all of them are found. A type between name and "=" is passed
+    over, and strings may have prefixes.
+
+    On a configuration-shaped line (a name, = or :, a value, from the line's start) the value may
+    be unquoted. It ends at white space, without a closing comma or semicolon. Calls, variables and
+    constants aren't values; nor are bare words and dotted names, except in NAME=value of capitals.
     """
     if b"=" not in text and b":" not in text:
         return []
@@ -108,15 +136,9 @@ def lexed(text: bytes, least: float) -> list[tuple[int, int]]:
     found: set[tuple[int, int]] = set()
     collected: set[int] = set()
     kept: list[Value] = []  # keeps the ids in collected from being given again
-    end = 0
-    for op in OPERATOR.finditer(text):
-        if op.start() < end:
-            continue
-        name = name_before(text, op.start())
-        m = name and VALUE.match(text, op.end())
-        if not m:
-            continue
-        name, end = name.lstrip(b".-0123456789"), m.end()
+    end = line = seen = 0
+
+    def terms(m):
         parts, pieces = [], []
         base = m.start("value")
         for t in TERM.finditer(m["value"]):
@@ -127,7 +149,27 @@ def lexed(text: bytes, least: float) -> list[tuple[int, int]]:
             elif t[4] in constants:
                 pieces.append(constants[t[4]])
                 parts.append(constants[t[4]])
-        if not parts:
+        return parts, pieces
+
+    for op in OPERATOR.finditer(text):
+        line, seen = max(line, text.rfind(b"\n", seen, op.start()) + 1), op.start()
+        if op.start() < end:
+            continue
+        at = name_before(text, op.start())
+        if not at:
+            continue
+        name, parts = text[slice(*at)].lstrip(b".-0123456789"), []
+        typed = ANNOTATION.match(text, op.end()) if op[0] == b":" else None
+        if typed and (m := VALUE.match(text, typed.end())):
+            parts, pieces = terms(m)
+        if not parts and (m := VALUE.match(text, op.end())):
+            parts, pieces = terms(m)
+        if parts:
+            end = m.end()
+        elif op[0] in (b"=", b":") and (bare := bare_value(text, line, op, at)) and not (typed and bare[1] < typed.end()):
+            parts, pieces, end = [bare], [text[bare[0] : bare[1]]], bare[1]
+        else:
+            end = m.end() if m and not typed else end
             continue
         value = constants[name] = Value(parts, pieces)
         if literal_score(name, value) >= least:

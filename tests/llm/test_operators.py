@@ -477,6 +477,31 @@ def test_long_assignments():
     assert literals('password = "<" + "' + "long " * 9 + '" + ">"') == []
 
 
+@pytest.mark.parametrize("text, want", [
+    ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCY+Q==\nA=1", "wJalrXUtnFEMI/K7MDENG/bPxRfiCY+Q=="),
+    ("[db]\nDB_PWD=9f8Kq1zZ77tQ\n", "9f8Kq1zZ77tQ"),
+    ("export DB_PWD=correcthorse # mine", "correcthorse"),
+    ("a:\n  - auth_key: Zx9qqW7e1kQ22", "Zx9qqW7e1kQ22"),
+    ("auth_key: Zx9qqW7e1kQ2=", "Zx9qqW7e1kQ2="),
+    ("api_key: Option<&str> = load()", None),
+    ("db.passphrase = p@ss,w0rd;x9", "p@ss,w0rd;x9"),
+    ("api_key: str = 'Zx9!qqW7#e'", "Zx9!qqW7#e"),
+    ('let api_key: &str = "Zx9!qqW7#e";', "Zx9!qqW7#e"),
+    ('static API_KEY: Option<&\'static str> = "Zx9!qqW7#e";', "Zx9!qqW7#e"),
+    ("api_key: list[str] | None = 'Zx9!qqW7#e'", "Zx9!qqW7#e"),
+    ("f(x, auth_key: string = 'Zx9!qqW7#e')", "Zx9!qqW7#e"),
+    ("SECRET_KEY = b'Zx9!qqW7#e'", "Zx9!qqW7#e"),
+    ('SECRET_KEY = f"Zx9!qqW7#e"', "Zx9!qqW7#e"),
+    ('SECRET_KEY = rb"Zx9!qqW7#e"', "Zx9!qqW7#e"),
+    ("{auth_key: a, token: b, client_secret: 'Zx9!qqW7#e'}", "Zx9!qqW7#e"),
+    ("password: required\nauth_token = self.auth_token\npwd = get_pwd(x)\nPWD=$HOME_PWD", None),
+    ("see the password: 9f8Kq1zZ77tQ", None),
+])
+def test_assignment_forms(text, want):
+    """Unquoted values on configuration lines, annotated names, string prefixes."""
+    assert [text[a:b] for a, b, k in secret_scan.scan(text.encode()) if k == "literal"] == ([want] if want else [])
+
+
 def test_redact(spark):
     df = docs(spark, [(1, "token = abcdefabcdef0123 é", "s"), (2, None, "s"), (3, "clean", "s")])
     got = {r.doc_id: (r.text, r.n_chars) for r in secret_scan.redact(df).collect()}
