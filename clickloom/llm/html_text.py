@@ -27,6 +27,8 @@ RAW = frozenset("script style textarea title noscript template xmp iframe noembe
 UNSEEN = frozenset("head script style title template noscript iframe noembed noframes svg math object audio video canvas select datalist meta link base".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr caption ul".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
+#: What may stand in <head>; anything else, and text, ends an open one.
+IN_HEAD = frozenset("head base link meta title noscript noframes style script template".split())
 #: An open <p> ends where one of these begins.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 #: A tag ends these open elements, up to the given boundaries.
@@ -134,6 +136,8 @@ class Renderer:
         self.pre = 0
 
     def text(self, s: str) -> None:
+        if self.hidden and self.stack[-1][0] == "head" and s.strip(" \t\n\r\f"):
+            self.pop()
         if self.hidden or not s:
             return
         if "&" in s:
@@ -147,6 +151,10 @@ class Renderer:
             self.flows[-1].text(s)
 
     def start(self, tag: str, attributes: str) -> None:
+        if tag == "head" and any(x[0] != "html" for x in self.stack):
+            return
+        if self.stack and self.stack[-1][0] == "head" and tag not in IN_HEAD:
+            self.pop()
         rule = IMPLIED.get(tag)
         if rule:
             self.close_implied(*rule)

@@ -355,6 +355,14 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).collect() == []
 
 
+def test_html_implied_head_end():
+    r = html_text.render
+    assert r("<html><head><title>T</title><p>Hello") == "Hello"
+    assert r("<head><meta charset=x><style>p{}</style>\n Hello <b>you</b>") == "Hello you"
+    assert r("<head><title>T</title><img alt=pic>x") == "picx"
+    assert r("<body><p>a<head>b") == "ab"
+
+
 def test_html_keeps_visible_words(spark, sf):
     """Nothing visible is lost: the words between tags all come out, in the same number."""
     import html
