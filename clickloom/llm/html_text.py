@@ -17,14 +17,21 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]*)))?""")
+#: Quotes delimit a value directly after "=" alone; elsewhere they are characters like others.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?)*+)>""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)?))?""")
+SELF_CLOSED = re.compile(r"""(?:\A|[\s"'/]|(?:\A|\s)[^\s=]+)/\Z""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 #: Fixed values of the HTML standard: kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes svg math object audio video canvas select datalist meta link base".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes audio video canvas datalist meta link base".split())
+#: Not displayed inside <svg> or <math>; HTML elements that end open ones of these; elements whose text stands apart.
+FOREIGN = frozenset("svg math".split())
+FOREIGN_UNSEEN = frozenset("defs desc metadata symbol clippath mask marker pattern annotation annotation-xml".split())
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+SPACED = frozenset("select optgroup option text".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr caption ul".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
 #: What may stand in <head>; anything else, and text, ends an open one.
@@ -43,6 +50,7 @@ IMPLIED = {
     "thead": (("tbody", "thead", "tfoot", "tr", "td", "th", "caption"), ("table",)),
     "tfoot": (("tbody", "thead", "tfoot", "tr", "td", "th", "caption"), ("table",)),
     "option": (("option",), ("select", "datalist")),
+    "optgroup": (("option", "optgroup"), ("select",)),
     "body": (("head",), ()),
 }
 SCOPE = frozenset("table td th caption button object".split())
@@ -133,6 +141,7 @@ class Renderer:
         self.tables: list[Table] = []
         self.lists: list[list] = []
         self.hidden = 0
+        self.foreign = 0
         self.pre = 0
 
     def text(self, s: str) -> None:
@@ -155,6 +164,9 @@ class Renderer:
             return
         if self.stack and self.stack[-1][0] == "head" and tag not in IN_HEAD:
             self.pop()
+        if self.foreign and tag in BREAKS_OUT and self.in_foreign():
+            while self.in_foreign():
+                self.pop()
         rule = IMPLIED.get(tag)
         if rule:
             self.close_implied(*rule)
@@ -178,12 +190,22 @@ class Renderer:
                 pass
             return
         hides = tag in UNSEEN or bool(attributes) and self.is_hidden(attributes)
+        if self.foreign or tag in FOREIGN:
+            inside = tag in FOREIGN or self.in_foreign()
+            if inside and SELF_CLOSED.search(attributes):
+                return
+            hides = hides or inside and tag in FOREIGN_UNSEEN
+            self.foreign += tag in FOREIGN
         self.stack.append((tag, hides))
         if hides:
             self.hidden += 1
         if self.hidden:
             return
         flow = self.flows[-1]
+        if tag in SPACED:
+            flow.text(" ")
+            if tag in ("optgroup", "option") and (label := self.attribute(attributes, "label")):
+                flow.text(html.unescape(label) + " ")
         if tag in BLOCK:
             flow.block(tag in APART and not (tag in ("ul", "ol") and self.lists))
         if tag in ("ul", "ol", "menu", "dir"):
@@ -244,12 +266,24 @@ class Renderer:
                 if not any(x[0] in tags for x in self.stack):
                     return
 
+    def in_foreign(self) -> bool:
+        """Whether the open element is foreign, rather than HTML inside or outside of it."""
+        for tag, _ in reversed(self.stack):
+            if tag in FOREIGN:
+                return True
+            if tag in ("foreignobject", "annotation-xml", "desc"):
+                return False
+        return False
+
     def pop(self) -> None:
         tag, hides = self.stack.pop()
+        self.foreign -= tag in FOREIGN
         if self.hidden:
             self.hidden -= bool(hides)
             return
         flow = self.flows[-1]
+        if tag in SPACED:
+            flow.text(" ")
         if tag in ("td", "th", "caption") and self.tables:
             flow.end_line()
             self.flows.pop()
@@ -314,8 +348,9 @@ def render(source: str) -> str:
         if m[1]:
             r.end(tag)
             continue
+        depth = len(r.stack)
         r.start(tag, m[3])
-        if tag in RAW:
+        if tag in RAW and not (r.foreign and len(r.stack) == depth):
             close = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(source, at)
             inside, at = (source[at : close.start()], close.end()) if close else (source[at:], len(source))
             if tag in ("textarea", "xmp"):

@@ -363,6 +363,19 @@ def test_html_implied_head_end():
     assert r("<body><p>a<head>b") == "ab"
 
 
+def test_html_visible_elements():
+    r = html_text.render
+    assert r("a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> b") == "a x=1 b"
+    assert r("<svg><title>no</title><defs><text>no</text></defs><text>one</text><text>two</text></svg>") == "one two"
+    assert r("<select><option>one<option selected>two</select>") == "one two"
+    assert r("<object data=x><p>fallback</object>") == "fallback"
+    assert r("<div><svg/>Hello</div>") == r("<div><svg width='1' />Hello</div>") == "Hello"
+    assert r("<svg><style/><text>x</text><defs><p>out") == "x\n\nout"
+    assert r("<a title=don't>Hello</a><p>it's</p>") == "Hello\n\nit's"
+    assert r("""<a href=x?y='1>Hello</a><b title="x>y" id='>'>it's</b>""") == "Helloit's"
+    assert r("<a title=a'hidden>shown</a>") == "shown"
+
+
 def test_html_keeps_visible_words(spark, sf):
     """Nothing visible is lost: the words between tags all come out, in the same number."""
     import html
