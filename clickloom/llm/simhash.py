@@ -380,13 +380,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, similarity: float | None = None) -> DataFrame:
     """docs with one document of each near-duplicate group, the one of least doc_id; see near_groups() for similarity.
 
-    Rows that repeat a doc_id are copies too: one of them stays. Rows with null doc_id all stay,
-    since nothing names the one to keep.
+    Rows of one doc_id are one document, and one of them stays at most. Every group asks for its
+    least id, and an id that several ask for goes to the group of the least component_id; groups
+    left without one ask for another of their ids that nobody got, in an order of their own,
+    until none can: a group goes without a survivor only if all its ids stand for other groups.
+    Of a group's rows of one id, that of the least fingerprint and hash of all columns stays.
+    Rows with null doc_id go where their group has a named row; of a group of such rows alone,
+    that of the least fingerprint and hash stays. Null text is empty; an empty table gives no rows.
     """
-    groups = near_groups(docs, similarity=similarity)
-    gone = materialise(groups.where("doc_id <> component_id").select("doc_id").distinct())
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
-    counted = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not counted.isEmpty():
-        named = named.dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.where("n > 1 or doc_id is null").isEmpty():
+        gone = near_groups(docs, similarity=similarity).where("doc_id <> component_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # rows get numbers, and every choice is a partial aggregate over numbers
+    whole = F.struct(*docs.columns)
+    rows = materialise(docs.select(whole.alias("row"), "doc_id", "text", F.xxhash64(F.to_json(whole)).alias("h"), F.monotonically_increasing_id().alias("n")))
+    groups = near_groups(rows.select(F.col("n").alias("doc_id"), "text"), similarity=similarity)
+    placed = materialise(groups.select(F.col("doc_id").alias("n"), "fp", F.col("component_id").alias("c")).join(rows.select("n", "doc_id", "h"), "n"))
+    pairs = placed.where("doc_id is not null").groupBy("c", "doc_id").agg(F.min(F.struct("fp", "h", "n"))["n"].alias("n"))
+    least = placed.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    waiting, stay = materialise(pairs.join(least, "c")), placed.groupBy("c").agg(F.count("doc_id").alias("named"), F.min(F.struct("fp", "h", "n"))["n"].alias("n")).where("named = 0").select("n")
+    k = 0
+    while not waiting.isEmpty():
+        asked = waiting.groupBy("c", "component_id").agg(F.min_by(F.struct("doc_id", "n"), F.xxhash64("c", "doc_id", F.lit(k)) if k else F.col("doc_id")).alias("x"))
+        won = materialise(asked.groupBy("x.doc_id").agg(F.min(F.struct("component_id", "c", "x.n")).alias("y")).select("doc_id", "y.c", "y.n"))
+        stay = stay.union(won.select("n"))
+        waiting = materialise(waiting.join(won.select("doc_id"), "doc_id", "left_anti").join(won.select("c"), "c", "left_anti"))
+        k += 1
+    return rows.join(stay, "n", "left_semi").select("row.*")

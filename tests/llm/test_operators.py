@@ -282,6 +282,24 @@ def test_simhash(spark, sf):
     assert simhash.near_duplicates(docs(spark, [])).collect() == []
 
 
+def test_keep_first_rows(spark):
+    """Repeated and null ids: a group keeps one row unless all its ids stand for other groups."""
+    rnd = random.Random(8)
+    a, b, c, d = (" ".join(f"w{rnd.randrange(5000)}" for _ in range(60)) for _ in range(4))
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in simhash.keep_first(docs(spark, [(i, t, "s") for i, t in rows])).collect()), key=repr)
+    assert kept([(3, a), (5, a), (5, b), (7, b)]) == [(3, a), (5, b)]
+    assert kept([(3, a), (3, a), (4, a)]) == [(3, a)]
+    got = kept([(None, a), (None, a), (2, b), (None, b), (None, c), (None, None), (None, "")])
+    assert Counter((i, t or "") for i, t in got) == Counter([(None, a), (2, b), (None, c), (None, "")])
+    rows = [(rnd.randrange(12) or None, rnd.choice((a, b, c, d, "", None))) for _ in range(40)]
+    got = kept(rows)
+    assert len({i for i, _ in got if i}) == len([i for i, _ in got if i]) and {(i, t) for i, t in got} <= set(rows)
+    texts = Counter(t or "" for _, t in got)
+    assert max(texts.values()) == 1
+    for t in {t or "" for _, t in rows} - set(texts):  # a group without survivor: its ids stand for others
+        assert {i for i, x in rows if (x or "") == t and i} <= {i for i, _ in got}
+
+
 def test_near_copies(spark):
     """A copy with every 60th word changed is 0.8 similar or more, but further than two bits away."""
     rnd = random.Random(3)
