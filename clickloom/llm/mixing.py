@@ -135,14 +135,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """docs as the mix has them: rows repeated as often as they are taken, at most `most` times rounded up."""
+    """docs as the mix has them: rows repeated as often as they are taken, at most `most` times rounded up.
+
+    Columns stay as they are, whatever their names. Nulls, ties, repeated rows and empty tables: see mix().
+    """
     rows, limits = plan(docs, weights, share, most)
     discard(rows)
-    columns = docs.columns
-    tagged = docs.withColumn("_h", row_hash())
-    named = limits.select(F.col("source").alias("_source"), "passes", "below")
+    named = limits.select(F.col("source").alias("of"), "passes", "below")
     if limits.count() <= BROADCAST_SOURCES:
         named = F.broadcast(named)
-    out = tagged.join(named, F.col("source").eqNullSafe(F.col("_source")))
-    copies = (F.col("passes") + (F.col("_h") < F.col("below")).cast("long")).cast("int")
-    return out.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(columns)
+    tagged = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("source"), row_hash().alias("h"))
+    copies = (F.col("passes") + (F.col("h") < F.col("below")).cast("long")).cast("int")
+    out = tagged.join(named, F.col("source").eqNullSafe(F.col("of"))).where(copies > 0)
+    return out.select("row", F.explode(F.sequence(F.lit(1), copies))).select("row.*")
