@@ -91,6 +91,37 @@ def test_top_k_lengths(spark):
     assert [tuple(r) for r in sorted(got)] == [(0, 1, 2, 49152), (0, 2, 1, 32768)]
 
 
+@pytest.mark.parametrize("block", [4096, 5])
+def test_top_k_repeated_ids(spark, block):
+    """Ids under several vectors are as many candidates, and never their own results; each vector of a query is answered."""
+    rnd = random.Random(4)
+    rows = {(rnd.choice((0, 50, 100, rnd.randrange(60))), tuple(rnd.randrange(-3, 4) for _ in range(3))) for _ in range(200)}
+    df = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in rows] * 2, "vec_id long, embedding array<double>")
+    clean = df.select(F.col("vec_id").alias("id"), topk.whole_numbers(F.col("embedding")).alias("v")).distinct()
+    got = topk.search(clean, clean.where("id % 50 = 0"), 5, topk.Index(clean, 6, pivots=4, rings=3, block=block)).collect()
+    want = Counter()
+    for q, u in rows:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(u, v)), i) for i, v in rows if i != q)[:5]
+            want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
+    assert Counter(tuple(r) for r in got) == want
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), *((k, [k / 8, 0.5]) for k in range(1, 6))], "vec_id long, embedding array<double>")
+    assert Counter(r.rank for r in topk.top_products(few).collect()) == Counter({k: 2 for k in range(1, 6)})
+
+
+def test_top_k_large(spark):
+    """Scores are exact in whole longs; beyond them they stop at a long's range, where ties go to lesser ids."""
+    big = [(0, [1e10, 1.0]), (1, [1e10, 2.0]), (2, [-1e10, 0.0]), (3, [1e-2, 5.0]), (4, [1e300, 0.0]), (50, [1e6, 3.0]), (51, [2e6 + 1 / 256, 0.0]), (52, [2e6, 0.5])]
+    got = topk.top_products(spark.createDataFrame(big, "vec_id long, embedding array<double>"), k=7).collect()
+    clip = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    v = {i: [int(min(256 * x // 1, float(1 << 63) - 1024)) for x in e] for i, e in big}
+    want = set()
+    for q in (0, 50):
+        best = sorted((-clip(sum(a * b for a, b in zip(v[q], v[i]))), i) for i in v if i != q)
+        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    assert {tuple(r) for r in got} == want
+
+
 # 3 quality rules
 def base(text):
     words = WORD.findall(text)
