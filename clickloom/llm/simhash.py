@@ -2,12 +2,14 @@
 
 A fingerprint's set bits per segment form a point; flipping one bit moves one coordinate by
 one, so the Hamming distance of two fingerprints is at least the Manhattan distance of their
-points. Points within two of each other are brought together by sending every fingerprint to
-its own grid cell and to the cells around it (half of them: each pair meets once), and pairs
-that meet are verified exactly by XOR and popcount. A cell with too many rows is refined with
-segments of half the length, down to single bits, where a cell holds one fingerprint: no pair
-is lost and none of a group's pairs are written. A task keeps a union-find and emits only the
-links that join two groups it hadn't joined yet.
+points. Points of whole numbers within two of each other differ in at most two coordinates; with
+the coordinates in G groups they agree on G - 2 groups at least. So every fingerprint goes to
+one cell per choice of G - 2 groups (6 cells for 4 groups, whatever the table's size), and pairs
+that meet are verified exactly by XOR and popcount, which costs less than the distance of the
+coordinates left. A cell with too many rows is refined: its rows go to a finer grid of more
+segments, then of more groups, down to cells that agree on all bits but two, which hold at most
+four fingerprints. No pair is lost and none of a group's pairs are written. A task keeps a
+union-find and emits only the links that join two groups it hadn't joined yet.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ from ..operators.components import connected_components
 from .common import binary_text, discard, map_rows, materialise, ship
 
 DISTANCE = 2
+#: (segments, groups) of the grids, coarse to fine. The first is used at any size unless a caller names
+#: a coarser one; the others for the rows of crowded cells alone.
+GRIDS = ((8, 4), (16, 4), (32, 4), (64, 4), (64, 8), (64, 16), (64, 64))
+FIRST_SEGMENTS = 32
 #: MinHash bands of near_copies(), and MinHashes in each.
 BANDS, BAND_ROWS = 20, 5
 #: Rows of a cell that are held at once, and comparisons in it, beyond which it is refined.
@@ -65,42 +71,42 @@ def popcounts(fp: np.ndarray, segments: int) -> np.ndarray:
     return bits.reshape(len(fp), segments, -1).sum(axis=2, dtype=np.int8)
 
 
-def steps(segments: int, half: bool) -> np.ndarray:
-    """All moves of Manhattan length 1 to DISTANCE (2); half: one of each move and its opposite."""
-    one = np.eye(segments, dtype=np.int8)
-    moves = [s * one[i] for i in range(segments) for s in (1, -1)]
-    moves += [2 * s * one[i] for i in range(segments) for s in (1, -1)]
-    moves += [s * one[i] + t * one[j] for i in range(segments) for j in range(i) for s in (1, -1) for t in (1, -1)]
-    out = np.array(moves, np.int8)
-    if half:
-        first = out[np.arange(len(out)), (out != 0).argmax(axis=1)]
-        out = out[first > 0]
-    return out
-
-
 def cell_keys(counts: np.ndarray, segments: int) -> np.ndarray:
-    """Points as one 64-bit key: base 9 to 16 segments of up to 4 bits still fit; 1 to 2 bits fill it."""
-    width = 64 // segments
-    field = {8: 4, 4: 3, 2: 2, 1: 1}[width]
+    """Points as one 64-bit key of fields of 1 to 4 bits."""
+    field = field_bits(segments)
     key = np.zeros(len(counts), np.uint64)
     for k in range(segments):  # segment by segment: all at once would widen the points eightfold
         key += counts[:, k].astype(np.uint64) << np.uint64(k * field)
     return key
 
 
-def to_cells(fp: np.ndarray, segments: int, moves: np.ndarray, own: bool, chunk: int = 4096):
-    """Yields (cell, fp, member) arrays: fp in its own cell as a member (own), and where moves lead it."""
-    width = 64 // segments
+def field_bits(segments: int) -> int:
+    return (64 // segments).bit_length()
+
+
+def kept_fields(segments: int, groups: int) -> list[int]:
+    """Masks of cell_keys() that each leave two of the groups of coordinates out."""
+    field, each = field_bits(segments), segments // groups
+    group = [((1 << field * each) - 1) << (field * each * g) for g in range(groups)]
+    return [((1 << field * segments) - 1) & ~(group[i] | group[j]) for i in range(groups) for j in range(i)]
+
+
+def to_cells(fp: np.ndarray, segments: int, groups: int, chunk: int = 4096):
+    """Yields (cell, fp) arrays: every fingerprint once per choice of groups.
+
+    The cell is a 64-bit mix of the choice and the coordinates that stay. Two cells of one mix
+    are read as one: their rows meet by chance, and the exact check keeps them apart.
+    """
+    masks = kept_fields(segments, groups)
     for i in range(0, len(fp), chunk):
         part = fp[i : i + chunk]
-        at = popcounts(part, segments)
-        if own:
-            yield cell_keys(at, segments), part, np.ones(len(part), bool)
-        for k in range(0, len(moves), 64):
-            to = at[:, None, :] + moves[None, k : k + 64, :]
-            fine = ((to >= 0) & (to <= width)).all(axis=2)
-            rows, _ = np.nonzero(fine)
-            yield cell_keys(to[fine], segments), part[rows], np.zeros(len(rows), bool)
+        at = cell_keys(popcounts(part, segments), segments)
+        for k in range(0, len(masks), 64):
+            some = np.array(masks[k : k + 64], np.uint64)
+            x = (at[:, None] & some) + np.arange(k + 1, k + 1 + len(some), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            yield (x ^ (x >> np.uint64(31))).reshape(-1), np.repeat(part, len(some))
 
 
 class Forest:
@@ -131,87 +137,75 @@ class Forest:
         return out
 
 
-def close_pairs(members: np.ndarray, others: np.ndarray, distance: int, block: int = 1024):
-    """Pairs of members, and of a member and another, at most so many bits apart, by blocks."""
-    for i in range(0, len(members), block):
-        m = members[i : i + block]
-        for j in range(i, len(members), block):
-            n = members[j : j + block]
+def close_pairs(rows: np.ndarray, distance: int, block: int = 1024):
+    """Pairs of rows at most so many bits apart, by blocks."""
+    for i in range(0, len(rows), block):
+        m = rows[i : i + block]
+        for j in range(i, len(rows), block):
+            n = rows[j : j + block]
             x, y = np.nonzero(np.bitwise_count(m[:, None] ^ n[None, :]) <= distance)
             keep = (m[x] != n[y]) & ((i != j) | (x < y))
             yield m[x[keep]], n[y[keep]]
-        for j in range(0, len(others), block):
-            n = others[j : j + block]
-            x, y = np.nonzero(np.bitwise_count(m[:, None] ^ n[None, :]) <= distance)
-            keep = m[x] != n[y]
-            yield m[x[keep]], n[y[keep]]
 
 
 def _meet(cells: DataFrame, last: bool) -> DataFrame:
-    """cells: (cell, fp, member) sorted by cell within partitions. Rows (a, b, member): links have
-    member null; rows of cells to refine come back as (fp, null, member)."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("member", pa.bool_())])
+    """cells: (cell, fp) sorted by cell within partitions. Rows (a, b): links, and (fp, null) of cells to refine."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         forest = Forest()
-        out_a, out_b, out_m = [], [], []
+        out_a, out_b = [], []
 
         def flush():
             a = pa.array([x for p in out_a for x in p], pa.int64())
             b = pa.array([x for p in out_b for x in p], pa.int64())
-            m = pa.array([x for p in out_m for x in p], pa.bool_())
-            for x in (out_a, out_b, out_m):
-                x.clear()
-            return pa.RecordBatch.from_arrays([a, b, m], schema=schema)
+            out_a.clear()
+            out_b.clear()
+            return pa.RecordBatch.from_arrays([a, b], schema=schema)
 
-        def refine(fp, member):
+        def refine(fp):
             out_a.append(fp.view(np.int64).tolist())
             out_b.append([None] * len(fp))
-            out_m.append(member.tolist())
 
-        def link(members, others):
-            for a, b in close_pairs(members, others, DISTANCE):
-                if len(a):
-                    new = forest.joined(zip(a.view(np.int64).tolist(), b.view(np.int64).tolist()))
-                    out_a.append([x for x, _ in new])
-                    out_b.append([y for _, y in new])
-                    out_m.append([None] * len(new))
+        def link(a, b):
+            if len(a):
+                new = forest.joined(zip(a.view(np.int64).tolist(), b.view(np.int64).tolist()))
+                out_a.append([x for x, _ in new])
+                out_b.append([y for _, y in new])
 
-        def many(cell, fp, member):
+        def many(cell, fp):
             """All complete cells of a sorted run; the small ones at once."""
             edge = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
             size = np.diff(np.r_[edge, len(cell)])
-            group = np.repeat(np.arange(len(edge)), size)
-            inside = np.bincount(group, member, len(edge)).astype(np.int64)
-            work = inside * size
+            work = size.astype(np.int64) ** 2
             big = work > 4096
             for g in np.flatnonzero(big):
-                s = slice(edge[g], edge[g] + size[g])
+                rows = fp[edge[g] : edge[g] + size[g]]
                 if work[g] > CELL_PAIRS and not last:
-                    refine(fp[s], member[s])
+                    refine(rows)
                 else:
-                    link(fp[s][member[s]], fp[s][~member[s]])
-            # each member row against its whole cell, for all small cells together
-            at = np.flatnonzero(member & ~big[group] & (size[group] > 1))
+                    for a, b in close_pairs(rows, DISTANCE):
+                        link(a, b)
+            # each row against those after it in its cell, for all small cells together
+            group = np.repeat(np.arange(len(edge)), size)
+            after = edge[group] + size[group] - 1 - np.arange(len(cell))
+            at = np.flatnonzero(~big[group] & (after > 0))
             for k in range(0, len(at), 200_000):
                 rows = at[k : k + 200_000]
-                n = size[group[rows]]
+                n = after[rows]
                 left = np.repeat(rows, n)
-                right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(edge[group[rows]], n)
-                ok = (np.bitwise_count(fp[left] ^ fp[right]) <= DISTANCE) & (left != right) & (~member[right] | (left < right)) & (fp[left] != fp[right])
+                right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+                ok = (np.bitwise_count(fp[left] ^ fp[right]) <= DISTANCE) & (fp[left] != fp[right])
                 if ok.any():
-                    new = forest.joined(zip(fp[left[ok]].view(np.int64).tolist(), fp[right[ok]].view(np.int64).tolist()))
-                    out_a.append([x for x, _ in new])
-                    out_b.append([y for _, y in new])
-                    out_m.append([None] * len(new))
+                    link(fp[left[ok]], fp[right[ok]])
 
         held: list[np.ndarray] = []
         flooding = None  # the cell that grew beyond CELL_ROWS
         for batch in batches:
-            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)]
+            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)]
             if flooding is not None:
                 n = int(np.searchsorted(now[0] != flooding, True)) if (now[0] != flooding).any() else len(now[0])
-                refine(now[1][:n], now[2][:n])
+                refine(now[1][:n])
                 now = [x[n:] for x in now]
                 if not len(now[0]):
                     yield flush()
@@ -227,7 +221,7 @@ def _meet(cells: DataFrame, last: bool) -> DataFrame:
             held = [x[cut:] for x in now]
             if len(held[0]) > CELL_ROWS and not last:
                 flooding = held[0][0]
-                refine(held[1], held[2])
+                refine(held[1])
                 held = []
             if out_a:
                 yield flush()
@@ -236,49 +230,34 @@ def _meet(cells: DataFrame, last: bool) -> DataFrame:
         if out_a:
             yield flush()
 
-    return cells.mapInArrow(run, "a long, b long, member boolean")
-
-
-def first_segments(n: int) -> int:
-    """Segments of the first grid. More of them make more rows per fingerprint and fewer chance
-    meetings per row; results are the same for all."""
-    return 8 if n < 2_000_000 else 16 if n < 1_000_000_000 else 32
+    return cells.mapInArrow(run, "a long, b long")
 
 
 def links(distinct: DataFrame, segments: int | None = None) -> DataFrame:
-    """Links (a, b) that connect whatever fingerprints within DISTANCE connect; distinct: (fp), distinct."""
+    """Links (a, b) that connect whatever fingerprints within DISTANCE connect; distinct: (fp), distinct.
+
+    segments: of the first grid; results are the same for all.
+    """
     spark = distinct.sparkSession
     ship(spark)
-    segments = segments or first_segments(distinct.count())
-    found, members, others = [], None, distinct.select("fp")
-    while True:
-        last = segments == 64
-
-        def spread(frame, moves, own, segments=segments):
-            def run(batches):
-                for batch in batches:
-                    fp = np.ascontiguousarray(batch.column(0).to_numpy()).view(np.uint64)
-                    for c, f, m in to_cells(fp, segments, moves, own):
-                        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(f.view(np.int64)), pa.array(m)], names=["cell", "fp", "member"])
-
-            return frame.select("fp").mapInArrow(run, "cell long, fp long, member boolean")
-
-        if members is None:
-            cells = spread(others, steps(segments, half=True), True)
-        else:  # refined: members in their cell, everything that came to it all around, in both directions
-            cells = spread(members, steps(segments, half=True)[:0], True).union(spread(others, np.r_[steps(segments, half=False), np.zeros((1, segments), np.int8)], False))
+    grids = [g for g in GRIDS if g[0] >= (segments or FIRST_SEGMENTS)]
+    out, rows = None, distinct.select("fp")
+    for grid in grids:
+
+        def run(batches, grid=grid):
+            for batch in batches:
+                fp = np.ascontiguousarray(batch.column(0).to_numpy()).view(np.uint64)
+                for c, f in to_cells(fp, *grid):
+                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(f.view(np.int64))], names=["cell", "fp"])
+
+        cells = rows.mapInArrow(run, "cell long, fp long")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        met = materialise(_meet(cells.repartition(n, "cell").sortWithinPartitions("cell"), last))
-        found.append(met.where("b is not null").select("a", "b"))
-        rest = met.where("b is null")
-        if last or rest.isEmpty():
+        met = materialise(_meet(cells.repartition(n, "cell").sortWithinPartitions("cell"), grid == grids[-1]))
+        found, rest = met.where("b is not null"), met.where("b is null")
+        out = out.union(found) if out else found
+        if grid == grids[-1] or rest.isEmpty():
             break
-        members = materialise(rest.where("member").select(F.col("a").alias("fp")).distinct())
-        others = materialise(rest.select(F.col("a").alias("fp")).distinct())
-        segments *= 2
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
+        rows = materialise(rest.select(F.col("a").alias("fp")).distinct())
     return out
 
 
