@@ -20,7 +20,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_token_files(spark, sf_dir):
-    return token_files.token_files(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return token_files.token_files(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2, special=True)
 
 
 def op2_exact_top_k(spark, sf_dir):

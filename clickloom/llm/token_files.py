@@ -4,7 +4,7 @@ Each id is replaced by its rank by frequency in the corpus and written in 1 to 4
 lengths go to separate control bytes, four 2-bit lengths each. Decoding expands control bytes
 by table lookup, sums lengths to offsets and gathers, all in numpy. A file's records are
 blocks (Parquet rows of binary columns), so writing keeps Spark's commit protocol: a lost
-executor's half-written files are never read.
+executor's half-written files are never read. The table of ranks lies beside the blocks.
 """
 
 from __future__ import annotations
@@ -77,17 +77,19 @@ class ChunkEncoder:
     are encoded, and the texts' ids are gathered from theirs. A chunk of letters
     alone is one pre-token and goes to the library's BPE model as such; other chunks, a
     text's first, and texts with other white space around a space, go through the library's
-    encoder. Strings of special tokens are plain text.
+    encoder. Strings of special tokens are plain text, unless special: then they become
+    their ids, as the library has it by default, and texts with such strings go through it whole.
     """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, special: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.type = np.uint16 if self.vocabulary <= 1 << 16 else np.uint32
@@ -103,6 +105,14 @@ class ChunkEncoder:
         pre = spec.get("pre_tokenizer") or {}
         return not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
 
+    def id_bytes(self) -> list[bytes]:
+        """What each id decodes to, for byte-level vocabularies."""
+        if not self.chunked:
+            raise ValueError("not a plain byte-level vocabulary")
+        byte_of = {c: b for b, c in self.letters.items()}
+        added = {i: t.content.encode() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        return [added[i] if i in added else bytes(byte_of[c] for c in self.tokenizer.id_to_token(i) or "") for i in range(self.vocabulary)]
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
@@ -137,6 +147,8 @@ class ChunkEncoder:
         first, last = data[starts], data[ends - 1]
         odd = np.zeros(len(texts), bool)
         odd[np.searchsorted(offsets, np.flatnonzero(_spaced(flat, starts == ends, first, last)), "right") - 1] = True
+        for x in self.special:
+            odd |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
         later = ~np.repeat(odd, np.diff(offsets))
         later[offsets[:-1]] = False
 
@@ -187,15 +199,15 @@ def _last_letters(words: pa.Array) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def encoder(tokenizer_file: str) -> ChunkEncoder:
-    return ChunkEncoder(tokenizer_file)
+def encoder(tokenizer_file: str, special: bool = False) -> ChunkEncoder:
+    return ChunkEncoder(tokenizer_file, special)
 
 
-def encode_rows(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): each whole text's ids and the end id, 32-bit or, where the vocabulary fits, 16-bit."""
+def encode_rows(docs: DataFrame, tokenizer_file: str, end_id: int, special: bool = False) -> DataFrame:
+    """(doc_id, ids): each whole text's ids and the end id, 32-bit or, where the vocabulary fits, 16-bit. Null text is empty."""
 
     def make():
-        enc = encoder(tokenizer_file)
+        enc = encoder(tokenizer_file, special)
         end = np.array([end_id], enc.type).tobytes()
 
         def work(batch):
@@ -206,13 +218,15 @@ def encode_rows(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
     return map_rows(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id long, ids binary", make, TOGETHER)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int) -> np.ndarray:
-    """Write the ids of docs (doc_id, text) below path, in ascending doc_id order; returns id by rank.
+def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, special: bool = False) -> None:
+    """Write the ids of docs (doc_id, text) below path, in ascending doc_id order: blocks/ and ranks/ (rank, id).
 
     Texts are encoded once, into the shared folder; ids are counted there (the counts that reach
     the driver are one per vocabulary entry at most), then dealt out by ranges of doc_id, sorted
     and coded. Files in name order hold documents in order; null ids come first, rows of one
-    doc_id in the order of their ids' bytes. An empty table writes no block.
+    doc_id in the order of a hash of their ids, so that many of them spread over files. Every
+    block has the checksum of its table of ranks. Null text is empty: the end id alone. An empty
+    table writes no block. special: see ChunkEncoder.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -221,7 +235,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
     if end_id >= (1 << 16 if small else 1 << 32):
         raise ValueError("the end id doesn't fit the vocabulary's integers")
     kind = np.uint16 if small else np.uint32
-    rows = materialise(encode_rows(docs, tokenizer_file, end_id), codec="zstd")
+    rows = materialise(encode_rows(docs, tokenizer_file, end_id, special).withColumn("h", F.xxhash64("ids")).withColumn("n", F.monotonically_increasing_id()), codec="zstd")
     most = max(vocabulary, end_id + 1)
 
     def count(batches):
@@ -235,9 +249,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
     by_rank = np.array([r.id for r in sorted(counts, key=lambda r: (-r.n, r.id))], np.uint32)
     rank = np.zeros(most, np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
-    table = rank.tobytes()
+    table, check = rank.tobytes(), crc32(by_rank.tobytes())
+    spark.createDataFrame(list(enumerate(by_rank.tolist())), "rank int, id long").coalesce(1).write.mode("overwrite").parquet(f"{path}/ranks")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("ranks_crc32", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
 
     def code(batches):
         from pyspark import TaskContext
@@ -247,7 +262,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
 
         def done():
             control, data = pack(ranks[np.concatenate(ids)])
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((shard, block, len(ids), n, docs_in, lengths, control, data), schema)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((shard, block, check, len(ids), n, docs_in, lengths, control, data), schema)], schema=schema)
 
         for batch in batches:
             for d, x in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -263,22 +278,24 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
             yield done()
 
     (
-        rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
-        .mapInArrow(code, "shard int, block int, n_docs long, n_tokens long, doc_ids array<long>, lengths array<long>, control binary, data binary")
-        .write.mode("overwrite").parquet(path)
+        rows.repartitionByRange(parts, "doc_id", "h", "n").sortWithinPartitions("doc_id", "h", "n").select("doc_id", "ids")
+        .mapInArrow(code, "shard int, block int, ranks_crc32 long, n_docs long, n_tokens long, doc_ids array<long>, lengths array<long>, control binary, data binary")
+        .write.mode("overwrite").parquet(f"{path}/blocks")
     )
     discard(rows)
-    return by_rank
 
 
-def read_token_files(spark, path: str, by_rank: np.ndarray) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, decoded from the files below path.
+def read_token_files(spark, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, decoded from the files below path by whoever can read them.
 
     start counts the ids of all documents before; sums per file, then per block, give it. One row
-    per file reaches a single window: as many as files were written.
+    per file reaches a single window: as many as files were written. The table of ranks, a row
+    per vocabulary entry at most, comes to the driver; a block of another table stops the read.
+    Without blocks there are no rows.
     """
     ship(spark)
-    files = spark.read.parquet(path)
+    by_rank = np.array([r.id for r in sorted(spark.read.parquet(f"{path}/ranks").collect())], np.uint32)
+    files, check = spark.read.parquet(f"{path}/blocks"), crc32(by_rank.tobytes())
     blocks = files.select("shard", "block", "n_tokens")
     shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", (F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("shard_start"))
     inside = blocks.select("shard", "block", (F.sum("n_tokens").over(W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens")).alias("block_start"))
@@ -290,6 +307,8 @@ def read_token_files(spark, path: str, by_rank: np.ndarray) -> DataFrame:
         table = np.frombuffer(ids, "<u4")
         for batch in batches:
             for row in batch.to_pylist():
+                if row["ranks_crc32"] != check:
+                    raise ValueError("a block was written with another table of ranks")
                 got = table[unpack(row["control"], row["data"], row["n_tokens"])]
                 n = np.array(row["lengths"], np.int64)
                 ends = np.cumsum(n)
@@ -298,11 +317,12 @@ def read_token_files(spark, path: str, by_rank: np.ndarray) -> DataFrame:
                 k = len(n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(k, row["shard"], np.int32)), pa.array(np.full(k, row["block"], np.int32)), pa.array(row["doc_ids"], pa.int64()), pa.array(ends - n), pa.array(n), pa.array(crc, pa.int64())], schema=schema)
 
-    decoded = files.select("shard", "block", "n_tokens", "doc_ids", "lengths", "control", "data").mapInArrow(decode, "shard int, block int, doc_id long, offset long, n_tokens long, ids_crc32 long")
+    decoded = files.select("shard", "block", "ranks_crc32", "n_tokens", "doc_ids", "lengths", "control", "data").mapInArrow(decode, "shard int, block int, doc_id long, offset long, n_tokens long, ids_crc32 long")
     return decoded.join(materialise(starts), (F.col("shard") == F.col("s")) & (F.col("block") == F.col("b"))).select("doc_id", (F.col("block_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_files(docs: DataFrame, tokenizer_file: str, end_id: int = 2, path: str | None = None) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer_file: str, end_id: int = 2, path: str | None = None, special: bool = False) -> DataFrame:
     """Write the token files of docs and return what reading them back gives; see the two functions above."""
     path = path or work_dir(docs.sparkSession)
-    return read_token_files(docs.sparkSession, path, write_token_files(docs, path, tokenizer_file, end_id))
+    write_token_files(docs, path, tokenizer_file, end_id, special)
+    return read_token_files(docs.sparkSession, path)
