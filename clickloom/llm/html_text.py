@@ -2,8 +2,10 @@
 
 The tokeniser yields tags, text and comments; the builder keeps a stack of open elements,
 closes what HTML says is closed by the next tag, and writes text as it goes: blocks on lines of
-their own, paragraphs apart by an empty line, lists with markers, table cells in aligned columns,
-preformatted text as it stands. Everything visible is kept, navigation and footers included.
+their own, paragraphs apart by an empty line, lists with markers, table cells in aligned columns
+(over the columns and rows that they span), preformatted text as it stands. Everything visible is
+kept, navigation and footers included. Time and memory follow the source's length: open elements
+are found by their names' positions, and layout has bounds beyond which text goes on unaligned.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from .common import map_rows
 #: Quotes delimit a value directly after "=" alone; elsewhere they are characters like others.
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?)*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)?))?""")
+#: Where quotes don't balance, a tag ends at the next ">".
+BLIND = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
+TAG_START = re.compile(r"</?[A-Za-z]")
 SELF_CLOSED = re.compile(r"""(?:\A|[\s"'/]|(?:\A|\s)[^\s=]+)/\Z""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -54,6 +59,10 @@ IMPLIED = {
     "body": (("head",), ()),
 }
 SCOPE = frozenset("table td th caption button object".split())
+#: Bounds of layout: columns of indentation, of a table cell, tables within tables, a table's columns. Text beyond them is kept, unaligned.
+MOST_INDENT, MOST_WIDTH, MOST_NESTED, MOST_COLUMNS = 80, 120, 16, 200
+#: Fixed values of the HTML standard: a cell spans at most so many columns and rows.
+MOST_COLSPAN, MOST_ROWSPAN = 1000, 65534
 HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 
 
@@ -67,12 +76,12 @@ def width(text: str) -> int:
 class Flow:
     """Lines of a block context; text collapses white space, breaks ask for lines or empty lines."""
 
-    def __init__(self, indent: str = ""):
+    def __init__(self):
         self.lines: list[str] = []
         self.parts: list[str] = []
         self.space = False
         self.gap = False
-        self.indent = indent
+        self.indent = 0
         self.marker = ""
 
     def text(self, s: str) -> None:
@@ -94,7 +103,7 @@ class Flow:
             if self.gap and self.lines and self.lines[-1]:
                 self.lines.append("")
             self.gap = False
-            lead = self.indent
+            lead = " " * min(self.indent, MOST_INDENT)
             if self.marker:
                 cut = len(lead) - width(self.marker)
                 lead, self.marker = lead[: max(0, cut)] + self.marker, ""
@@ -115,35 +124,76 @@ class Flow:
 
 
 class Table:
-    """Rows of cells; rendered with columns as wide as their widest cell."""
+    """Rows of cells; rendered with columns as wide as their widest cell of one column, up to MOST_WIDTH."""
 
     def __init__(self):
-        self.rows: list[list[str]] = []
+        self.rows: list[list[tuple[list[str], int, int]]] = []  # (lines, columns, rows; 0: all that follow)
         self.caption: list[str] = []
 
+    def placed(self) -> list[list[tuple[int, int, list[str]]]]:
+        """Per row (first column, end, lines) of its cells, past the columns that cells above span."""
+        out, above = [], {}  # column: rows that it is still taken in
+        for row in self.rows:
+            at, cells, begun = 0, [], {}
+            for lines, columns, rows in row:
+                while above.get(at):
+                    at += 1
+                cells.append((at, at + columns, lines))
+                if rows != 1:
+                    begun |= dict.fromkeys(range(at, min(at + columns, MOST_COLUMNS)), rows - 1 if rows else MOST_ROWSPAN)
+                at += columns
+            above = {c: n - 1 for c, n in above.items() if n > 1} | begun
+            out.append(cells)
+        return out
+
     def lines(self) -> list[str]:
-        rows = [r for r in self.rows if any(r)]
-        n = max(map(len, rows), default=0)
-        widths = [max((width(line) for r in rows if k < len(r) for line in r[k].split("\n")), default=0) for k in range(n)]
+        rows = [r for r in self.placed() if any(x for _, _, x in r)]
+        edges = sorted({x for r in rows for a, b, _ in r for x in (a, b)} | {0})[: MOST_COLUMNS + 1]
+        of = {e: k for k, e in enumerate(edges)}
+        widths = [0] * len(edges)
+        for single in (True, False):
+            for r in rows:
+                for a, b, lines in r:
+                    if b in of and (of[b] - of[a] == 1) == single:
+                        room = sum(widths[of[a] : of[b]]) + 2 * (of[b] - of[a] - 1)
+                        widths[of[b] - 1] += max(0, min(MOST_WIDTH, max(map(width, lines), default=0)) - room)
+        starts = [0]
+        for w in widths:
+            starts.append(starts[-1] + w + 2 * (w > 0))
         out = list(self.caption)
         for r in rows:
-            cells = [c.split("\n") for c in r]
-            for i in range(max(map(len, cells))):
-                line = [c[i] if i < len(c) else "" for c in cells]
-                out.append("  ".join(x + " " * (w - width(x)) for x, w in zip(line, widths)).rstrip())
+            for i in range(max(len(x) for _, _, x in r)):
+                parts, at = [], 0
+                for a, _, lines in r:
+                    if i < len(lines) and lines[i]:
+                        begin = max(starts[of[a]] if a in of else 0, at + 2 if parts else 0)
+                        parts += [" " * (begin - at), lines[i]]
+                        at = begin + width(lines[i])
+                out.append("".join(parts).rstrip())
         return out
 
 
 class Renderer:
     def __init__(self):
         self.stack: list[tuple[str, object]] = []
+        self.at: dict[str, list[int]] = {}  # positions in the stack by name
         self.flows = [Flow()]
-        self.tables: list[Table] = []
+        self.tables: list[Table | None] = []  # None: too deep, plain text
+        self.spans: list[tuple[int, int]] = []  # of the open cells
         self.lists: list[list] = []
         self.hidden = 0
         self.foreign = 0
         self.pre = 0
 
+    def last(self, *names: str) -> int:
+        """The highest position of an open element of these names, -1 for none."""
+        at = self.at
+        return max([at[n][-1] for n in names if at.get(n)], default=-1)
+
+    def cut(self, height: int) -> None:
+        while len(self.stack) > height:
+            self.pop()
+
     def text(self, s: str) -> None:
         if self.hidden and self.stack[-1][0] == "head" and s.strip(" \t\n\r\f"):
             self.pop()
@@ -160,7 +210,7 @@ class Renderer:
             self.flows[-1].text(s)
 
     def start(self, tag: str, attributes: str) -> None:
-        if tag == "head" and any(x[0] != "html" for x in self.stack):
+        if tag == "head" and len(self.stack) > len(self.at.get("html", ())):
             return
         if self.stack and self.stack[-1][0] == "head" and tag not in IN_HEAD:
             self.pop()
@@ -170,9 +220,9 @@ class Renderer:
         rule = IMPLIED.get(tag)
         if rule:
             self.close_implied(*rule)
-        if tag in ENDS_P and any(x[0] == "p" for x in self.stack):
+        if tag in ENDS_P and self.at.get("p"):
             self.close_to("p", SCOPE)
-        if tag in ("td", "th") and self.tables and not any(x[0] == "tr" for x in self.since("table")):
+        if tag in ("td", "th") and self.tables and self.last("tr") <= self.last("table"):
             self.start("tr", "")
         if tag in VOID:
             if self.hidden:
@@ -196,6 +246,7 @@ class Renderer:
                 return
             hides = hides or inside and tag in FOREIGN_UNSEEN
             self.foreign += tag in FOREIGN
+        self.at.setdefault(tag, []).append(len(self.stack))
         self.stack.append((tag, hides))
         if hides:
             self.hidden += 1
@@ -211,7 +262,7 @@ class Renderer:
         if tag in ("ul", "ol", "menu", "dir"):
             start = self.attribute(attributes, "start") if tag == "ol" else None
             self.lists.append([tag, int(start) if start and re.fullmatch(r"-?\d{1,9}", start) else 1])
-            flow.indent += "   " if tag == "ol" else "  "
+            flow.indent += 3 if tag == "ol" else 2
         elif tag == "li":
             if self.lists:
                 kind, n = self.lists[-1]
@@ -220,18 +271,23 @@ class Renderer:
             else:
                 flow.marker = ""
         elif tag in ("blockquote", "dd"):
-            flow.indent += "  "
+            flow.indent += 2
         elif tag == "pre":
             self.pre += 1
         elif tag == "table":
-            self.tables.append(Table())
-        elif tag == "tr" and self.tables:
-            self.tables[-1].rows.append([])
-        elif tag in ("td", "th", "caption") and self.tables:
-            self.flows.append(Flow())
+            self.tables.append(Table() if len(self.tables) < MOST_NESTED else None)
+        elif tag in ("tr", "td", "th", "caption") and self.tables:
+            table = self.tables[-1]
+            if table is None:
+                flow.text(" ")
+            elif tag == "tr":
+                table.rows.append([])
+            else:
+                self.flows.append(Flow())
+                self.spans.append((self.span(attributes, "colspan", MOST_COLSPAN) or 1, self.span(attributes, "rowspan", MOST_ROWSPAN)) if "span" in attributes.lower() else (1, 1))
 
     def end(self, tag: str) -> None:
-        if tag == "p" and not any(x[0] == "p" for x in self.stack):
+        if tag == "p" and not self.at.get("p"):
             self.flows[-1].block(True) if not self.hidden else None
             return
         if tag == "br":
@@ -240,43 +296,22 @@ class Renderer:
         bound = () if tag in ("table", "body", "html") else ("table",) if tag in ("tr", "tbody", "thead", "tfoot", "caption") else ("td", "th", "caption", "table") if tag not in ("td", "th") else ("table",)
         self.close_to(tag, frozenset(bound) - {tag})
 
-    def since(self, tag: str) -> list:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                return self.stack[i:]
-        return self.stack
-
     def close_to(self, tag: str, bounds) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                while len(self.stack) > i:
-                    self.pop()
-                return
-            if self.stack[i][0] in bounds:
-                return
+        at = self.last(tag)
+        if at > self.last(*bounds):
+            self.cut(at)
 
     def close_implied(self, tags, bounds) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[i][0]
-            if name in bounds:
-                return
-            if name in tags:
-                while len(self.stack) > i:
-                    self.pop()
-                if not any(x[0] in tags for x in self.stack):
-                    return
+        while (at := self.last(*tags)) > self.last(*bounds):
+            self.cut(at)
 
     def in_foreign(self) -> bool:
         """Whether the open element is foreign, rather than HTML inside or outside of it."""
-        for tag, _ in reversed(self.stack):
-            if tag in FOREIGN:
-                return True
-            if tag in ("foreignobject", "annotation-xml", "desc"):
-                return False
-        return False
+        return self.last(*FOREIGN) > self.last("foreignobject", "annotation-xml", "desc")
 
     def pop(self) -> None:
         tag, hides = self.stack.pop()
+        self.at[tag].pop()
         self.foreign -= tag in FOREIGN
         if self.hidden:
             self.hidden -= bool(hides)
@@ -284,30 +319,31 @@ class Renderer:
         flow = self.flows[-1]
         if tag in SPACED:
             flow.text(" ")
-        if tag in ("td", "th", "caption") and self.tables:
+        if tag in ("td", "th", "caption") and self.tables and self.tables[-1]:
             flow.end_line()
             self.flows.pop()
-            table = self.tables[-1]
+            table, spans = self.tables[-1], self.spans.pop()
             if tag == "caption":
                 table.caption += flow.lines
             else:
                 if not table.rows:
                     table.rows.append([])
-                table.rows[-1].append("\n".join(flow.lines))
+                table.rows[-1].append((flow.lines, *spans))
             return
         if tag in BLOCK:
             flow.block(tag in APART and not (tag in ("ul", "ol") and len(self.lists) > 1))
         if tag in ("ul", "ol", "menu", "dir"):
             kind, _ = self.lists.pop()
-            flow.indent = flow.indent[: -3 if tag == "ol" else -2]
+            flow.indent -= 3 if tag == "ol" else 2
         elif tag == "li":
             flow.marker = ""
         elif tag in ("blockquote", "dd"):
-            flow.indent = flow.indent[:-2]
+            flow.indent -= 2
         elif tag == "pre":
             self.pre -= 1
         elif tag == "table":
-            for line in self.tables.pop().lines():
+            table = self.tables.pop()
+            for line in table.lines() if table else ():
                 flow.parts = [line] if line else []
                 flow.end_line()
             flow.block(True)
@@ -319,6 +355,10 @@ class Renderer:
         found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
         return "hidden" in found or bool(HIDING.search(found.get("style", ""))) or found.get("aria-hidden", "").lower() == "true"
 
+    def span(self, attributes: str, name: str, most: int) -> int:
+        value = self.attribute(attributes, name)
+        return min(int(value), most) if value and re.fullmatch(r"\s*\d{1,9}\s*", value) else 1
+
     @staticmethod
     def attribute(attributes: str, name: str) -> str | None:
         for m in ATTRIBUTE.finditer(attributes):
@@ -330,15 +370,21 @@ class Renderer:
 def render(source: str) -> str:
     """The visible text of an HTML document; every character reference decoded."""
     r = Renderer()
-    at = 0
-    while True:
-        m = TAG.search(source, at)
+    at = begin = 0
+    tags = TAG
+    while (at := source.find("<", at)) >= 0:
+        m = TAG.match(source, at) if tags is TAG or source.startswith(("<!", "<?"), at) else BLIND.match(source, at)
         if not m:
-            r.text(source[at:])
-            break
-        if m.start() > at:
-            r.text(source[at : m.start()])
-        at = m.end()
+            if not TAG_START.match(source, at):
+                at += 1
+            elif tags is TAG:  # a quote that never ends: from here on, quotes don't count
+                tags = BLIND
+            else:  # no ">" follows
+                break
+            continue
+        if at > begin:
+            r.text(source[begin:at])
+        begin = at = m.end()
         tag = m[2]
         if tag is None:
             if m[0].startswith("<![CDATA["):
@@ -351,13 +397,15 @@ def render(source: str) -> str:
         depth = len(r.stack)
         r.start(tag, m[3])
         if tag in RAW and not (r.foreign and len(r.stack) == depth):
-            close = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(source, at)
-            inside, at = (source[at : close.start()], close.end()) if close else (source[at:], len(source))
+            close = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(source, at)
+            end = source.find(">", close.end()) if close else -1
+            inside, at = (source[at : close.start()], end + 1) if end >= 0 else (source[at:], len(source))
+            begin = at
             if tag in ("textarea", "xmp"):
                 r.text(inside)
             r.end(tag)
-    while r.stack:
-        r.pop()
+    r.text(source[begin:])
+    r.cut(0)
     r.flows[0].end_line()
     return "\n".join(r.flows[0].lines).strip("\n")
 
