@@ -20,19 +20,20 @@ Cut = Callable[[DataFrame, int | None], DataFrame]
 FILE_EDGES = 100_000
 
 
-def _star(edges: DataFrame, cut: Cut, large: bool, files: int) -> tuple[DataFrame, list[DataFrame]]:
+def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: (a, b) with a > b, distinct. One large-star or small-star step over them."""
     if large:
         both = edges.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))))
     else:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), files)
-    joined = both.join(least.withColumnRenamed("u", "k"), F.col("u") == F.col("k"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+    joined = both.join(least, F.col("u") == F.col("k"))
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    else:
-        out = joined.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return cut(out.where("a <> b").distinct(), files), [least]
+    else:  # a node itself is tied to its least neighbour, the others to that as well
+        pair = lambda x: F.struct(F.col(x).alias("a"), F.col("m").alias("b"))
+        out = joined.select(F.inline(F.array(pair("v"), pair("u"))))
+    return out.where("a <> b").distinct()
 
 
 def connected_components(edges: DataFrame, cut: Cut, drop: Callable[[DataFrame], None] = lambda df: None, rounds: int = 100) -> DataFrame:
@@ -50,12 +51,10 @@ def connected_components(edges: DataFrame, cut: Cut, drop: Callable[[DataFrame],
     )
     before = _print(now)
     for _ in range(rounds if before[0] else 0):
-        files = 1 + before[0] // FILE_EDGES
-        wide, used = _star(now, cut, True, files)
+        # both steps of a round are one plan, written once
+        then = cut(_star(_star(now, True), False), 1 + before[0] // FILE_EDGES)
         drop(now)
-        now, more = _star(wide, cut, False, files)
-        for x in (*used, *more, wide):
-            drop(x)
+        now = then
         after = _print(now)
         if after == before:
             break
