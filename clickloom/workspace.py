@@ -57,3 +57,33 @@ def delete(spark: SparkSession, path: str) -> None:
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = file_system(spark, path)
     return fs.exists(p)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder, sorted; none where it doesn't exist."""
+    fs, p = file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole: under another name first, then renamed."""
+    fs, p = file_system(spark, path + ".writing")
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename(spark, path + ".writing", path)
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    fs, p = file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    fs, p = file_system(spark, path)
+    if not fs.rename(p, file_system(spark, to)[1]):
+        raise OSError(f"could not rename {path} to {to}")
