@@ -28,9 +28,11 @@ def bounce_pairs(view: DataFrame) -> DataFrame:
 
 
 def export(pairs: DataFrame, path: str, shard: Callable[[Column], Column] = key_shard, shards: int = SHARDS) -> None:
-    """Write pairs, one folder per shard; a lookup reads one shard and, by its sort order, few row groups."""
+    """Write pairs, one folder per shard, dealt by ranges of (shard, key): as many tasks as the session
+    has shuffle partitions, and files of a shard that follow one another by key. A lookup reads one
+    shard and, by its sort order, few row groups of it."""
     tagged = pairs.withColumn("shard", shard(F.col("key"), shards))
-    tagged.repartition(shards, "shard").sortWithinPartitions("shard", "key").write.mode("overwrite").partitionBy("shard").parquet(path)
+    tagged.repartitionByRange("shard", "key").sortWithinPartitions("shard", "key").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def lookup(spark: SparkSession, path: str, keys: list[bytes], shard: Callable[[Column], Column] = key_shard, shards: int = SHARDS) -> DataFrame:
