@@ -23,7 +23,7 @@ from .sources import serving, topics
 from .sources.store import FactStore, Landing, ingest, is_target, target
 from .streaming import views as streams
 from .streaming.state import KeyedState
-from .workspace import work_dir
+from .workspace import children, work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -280,13 +280,14 @@ def batch_workflow(spark, sf_dir):
 
 # streams -------------------------------------------------------------------------------------
 def _stream(spark, sf_dir, dense=False):
-    """A stream of page views from a folder, in two batches by time."""
+    """A stream of page views from a folder: those of the first half by time in one batch, the others after it."""
     base = work_dir(spark)
     rows = page_views(spark, sf_dir, dense=dense)
     half = rows.select(F.percentile_approx("pedigree.true_as_of_secs", 0.5)).first()[0]
-    topics.send(rows.where(F.col("pedigree.true_as_of_secs") <= half).coalesce(1), f"{base}/topic")
-    topics.send(rows.where(F.col("pedigree.true_as_of_secs") > half).coalesce(1), f"{base}/topic")
-    return topics.views(topics.from_folder(spark, f"{base}/topic", 1)), KeyedState(spark, f"{base}/state"), f"{base}/checkpoint"
+    topics.send(rows.where(F.col("pedigree.true_as_of_secs") <= half), f"{base}/topic")
+    files = sum(n.endswith(".parquet") for n in children(spark, f"{base}/topic"))  # the oldest files come first
+    topics.send(rows.where(F.col("pedigree.true_as_of_secs") > half), f"{base}/topic")
+    return topics.views(topics.from_folder(spark, f"{base}/topic", files)), KeyedState(spark, f"{base}/state"), f"{base}/checkpoint"
 
 
 def stream_pageviews(spark, sf_dir):
@@ -307,6 +308,59 @@ def stream_bounces(spark, sf_dir):
     return state.total(streams.BOUNCES, "domain")
 
 
+def stream_visits_state(spark, sf_dir):
+    """The bounces of stream_bounces, from one open visit per (domain, user) in a state with timers."""
+    views, state, checkpoint = _stream(spark, sf_dir, dense=True)
+    streams.start_bounces(views, state, checkpoint, close=streams.visits_with_state).awaitTermination()
+    return state.total(streams.BOUNCES, "domain")
+
+
+def topic_messages(spark, sf_dir):
+    """Page views as a topic's messages, and parsed from their bytes."""
+    got = topics.parsed(topics.messages(topics.views(page_views(spark, sf_dir))))
+    return got.select("url", F.col("user.user_id").alias("user_id"), F.col("timestamp").alias("secs"))
+
+
+def state_updates(spark, sf_dir):
+    """Counts per URL merged batch by batch, one batch twice; URLs that end in 7 removed, those in 17 put again; a snapshot between."""
+    state = KeyedState(spark, f"{work_dir(spark)}/state", keys=("url",))
+    schema, rows = "url string, n long", events(spark, sf_dir).select("url", "event_id")
+    for k in (0, 1, 1, 2):
+        counts = rows.where(F.col("event_id") % 3 == k).groupBy("url").agg(F.count("*").alias("n"))
+        state.update(schema, counts, k, lambda old, new: F.struct(new["url"].alias("url"), (F.coalesce(old["n"], F.lit(0)) + new["n"]).alias("n")), "url")
+    state.remove(rows.where(F.col("url").endswith("7")).select("url"), 3)
+    state.compact(schema, "url")
+    state.put(rows.where(F.col("url").endswith("17")).groupBy("url").agg(F.lit(1).cast("long").alias("n")), 4)
+    return state.latest(schema, "url")
+
+
+def page_property_store(spark, sf_dir):
+    """A page property of every event, stored and read by its folder."""
+    store = FactStore(spark, f"{work_dir(spark)}/master")
+    rows = events(spark, sf_dir)
+    store.append(S.page_properties(rows, F.col("url"), F.col("secs"), F.col("event_id").cast("int")))
+    got = store.compact().scan((S.PAGE_PROPERTY, S.PAGE_VIEWS))
+    return got.groupBy(F.col("page_property.id.url").alias("url")).agg(F.count("*").alias("n"), F.sum(F.col("page_property.property.page_views").cast("long")).alias("views"))
+
+
+def _exported(spark, sf_dir, pairs, shard):
+    path = f"{work_dir(spark)}/export"
+    serving.export(pairs, path, shard)
+    return spark.read.parquet(path)
+
+
+def serving_export_uniques(spark, sf_dir):
+    """The uniques export written, and read back whole."""
+    got = _exported(spark, sf_dir, serving.unique_pairs(batch.uniques_over_time(fields(spark, sf_dir))), K.url_shard)
+    return got.select(F.decode("key", "UTF-8").alias("key"), F.hll_sketch_estimate("value").alias("uniques"))
+
+
+def serving_export_bounces(spark, sf_dir):
+    """The bounces export written, and read back whole."""
+    got = _exported(spark, sf_dir, serving.bounce_pairs(bounces_intended(spark, sf_dir)), K.key_shard)
+    return got.select(F.decode("key", "UTF-8").alias("key"), _text("value").alias("value"))
+
+
 def keyed_state(spark, sf_dir):
     """Values put batch by batch, one batch twice, and read back."""
     state = KeyedState(spark, f"{work_dir(spark)}/state")
@@ -322,6 +376,7 @@ def queries() -> dict[str, Query]:
         dedup_pageviews, pageviews_hourly, pageviews_over_time, uniques_hourly, uniques_over_time, bounces_intended, bounces_literal, bounces_timed,
         equiv_bidirectional, equiv_step, equiv_components, normalized_pageviews, split_targets, valid_targets, record_validation, store_ingest, scan_unit, scan_properties, store_compact,
         serving_pageviews, serving_bounces, serving_uniques, key_urls, shard_index, serving_export, batch_workflow, stream_pageviews, stream_uniques, stream_bounces, keyed_state,
+        stream_visits_state, topic_messages, state_updates, page_property_store, serving_export_uniques, serving_export_bounces,
     )}
 
 
@@ -406,5 +461,11 @@ UNION ALL SELECT domain, 'visits', visits FROM v UNION ALL SELECT domain, 'bounc
         "stream_pageviews": f"WITH {EV} SELECT url, secs // 3600 AS bucket, count(*) AS pageviews FROM pv GROUP BY ALL",
         "stream_uniques": f"WITH {EV} SELECT raw AS url, secs // 3600 AS bucket, count(DISTINCT user_id) AS uniques FROM pv GROUP BY ALL",
         "stream_bounces": stream,
+        "stream_visits_state": stream,
+        "topic_messages": f"WITH {EV} SELECT raw AS url, user_id, CAST(secs AS INTEGER) AS secs FROM pv",
+        "state_updates": f"WITH {EV} SELECT raw AS url, CASE WHEN raw LIKE '%17' THEN 1 ELSE count(*) END AS n FROM pv WHERE raw NOT LIKE '%7' OR raw LIKE '%17' GROUP BY raw",
+        "page_property_store": f"WITH {EV} SELECT raw AS url, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS views FROM pv GROUP BY raw",
+        "serving_export_uniques": f"SELECT url || '/' || granularity || '-' || bucket AS key, uniques FROM ({uniq})",
+        "serving_export_bounces": f"SELECT domain AS key, lower(lpad(to_hex(visits), 16, '0') || lpad(to_hex(bounces), 16, '0')) AS value FROM ({intended})",
         "keyed_state": f"WITH {EV} SELECT raw AS url, secs // 3600 AS bucket, count(*) AS n FROM pv GROUP BY ALL",
     }
