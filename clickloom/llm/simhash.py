@@ -369,7 +369,8 @@ def keep_first(docs: DataFrame, similarity: float | None = None) -> DataFrame:
     """
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
     if ids.where("n > 1 or doc_id is null").isEmpty():
-        gone = near_groups(docs, similarity=similarity).where("doc_id <> component_id").select("doc_id")
+        # written, so that its size is known: few ids are broadcast, and the texts stay where they are
+        gone = materialise(near_groups(docs, similarity=similarity).where("doc_id <> component_id").select("doc_id"))
         return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     # rows get numbers, and every choice is a partial aggregate over numbers
     whole = F.struct(*docs.columns)
