@@ -30,6 +30,8 @@ GRIDS = ((8, 4), (16, 4), (32, 4), (64, 4), (64, 8), (64, 16), (64, 64))
 FIRST_SEGMENTS = 32
 #: MinHash bands of near_copies(), and MinHashes in each.
 BANDS, BAND_ROWS = 20, 5
+#: Turns of leaders in near_copies(), rows a leader's set is joined with at once, and rows and hashes of a block of the rest.
+TURNS, LEAD_ROWS, BLOCK_ROWS, BLOCK_HASHES = 2, 500, 64, 1_000_000
 #: Rows of a cell that are held at once, and comparisons in it, beyond which it is refined.
 CELL_ROWS, CELL_PAIRS = 100_000, 8_000_000
 
@@ -278,56 +280,144 @@ def min_hashes(hashes: np.ndarray, n: int = BANDS * BAND_ROWS) -> np.ndarray:
     return out
 
 
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """How many hashes two sorted sets share."""
+    return len(np.intersect1d(x, y, assume_unique=True))
+
+
+def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many hashes each two of some sorted sets share, by products of an incidence matrix in strips."""
+    values, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    column = (np.cumsum(n > 1) - 1)[at]
+    often = n[at] > 1  # a hash of one set alone is shared by no two
+    order = np.flatnonzero(often)[np.argsort(column[often], kind="stable")]
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        i, j = np.searchsorted(column, [first, first + columns])
+        strip = np.zeros((len(sets), columns), np.float32)
+        strip[row[i:j], column[i:j] - first] = 1
+        out += strip @ strip.T
+    out = out.astype(np.int64)
+    np.fill_diagonal(out, [len(x) for x in sets])
+    return out
+
+
+def _leaders(cells: DataFrame, sets: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """(cell, lead, k, near, ring): each row of a cell measured against the cell's leader.
+
+    One leader is drawn per cell, alike in cells of the same rows, so that a pair is measured once.
+    A leader of many rows is joined in parts.
+    """
+    lead = cells.groupBy("cell").agg(F.min_by("k", F.xxhash64("k", F.lit(turn))).alias("lead"))
+    led = materialise(cells.join(lead, "cell").where("k <> lead"))
+    pairs = materialise(led.select("lead", "k").distinct())
+    many = materialise(pairs.groupBy("lead").agg((F.floor(F.count("*") / LEAD_ROWS) + 1).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("k"), F.col("parts")).cast("int").alias("part")
+    leads = many.join(sets.select(F.col("k").alias("lead"), F.col("hashes").alias("of")), "lead").select("lead", "of", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    both = pairs.join(many, "lead").select("lead", "k", part).join(leads, ["lead", "part"]).join(sets.select("k", "hashes"), "k")
+    width = 1 - similarity + 1e-6
+
+    def make():
+        def work(batch):
+            near, ring = [], []
+            for x, y in zip(batch.column("of").to_pylist(), batch.column("hashes").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                n = overlap(x, y)
+                union = len(x) + len(y) - n
+                near.append(n >= similarity * union)
+                ring.append(int((1 - n / union) / width))
+            return {"lead": batch.column("lead"), "k": batch.column("k"), "near": near, "ring": ring}
+
+        return work
+
+    measured = materialise(map_rows(both.select("lead", "k", "of", "hashes"), "lead string, k string, near boolean, ring long", make))
+    return materialise(led.join(measured, ["lead", "k"]))
+
+
+def _rest(cells: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (lead, k) that join the components c within cells (cell, k, c), from tasks of two blocks of a cell each."""
+    of = cells.join(sets, "k")
+    size = of.groupBy("cell").agg(F.greatest(F.floor(F.count("*") / BLOCK_ROWS), F.floor(F.sum("n") / BLOCK_HASHES)).cast("int").alias("last"))
+    mine = cells.join(size, "cell").select("cell", "k", "c", F.pmod(F.xxhash64("k"), F.col("last") + 1).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
+    rows = mine.select("cell", "k", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(sets.select("k", "hashes"), "k")
+
+    def run(table):
+        ks, cs, blocks = (np.array(table.column(x).to_pylist()) for x in ("k", "c", "block"))
+        hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        size = np.array([len(x) for x in hashes])
+        both = overlaps(hashes)
+        near = (both >= similarity * (size[:, None] + size - both)) & (cs[:, None] != cs)
+        if len(set(blocks.tolist())) > 1:  # two blocks meet here; each within itself elsewhere
+            near &= blocks[:, None] != blocks
+        x, y = np.nonzero(np.triu(near))
+        new = set(Forest().joined(zip(cs[x].tolist(), cs[y].tolist())))
+        out = {(cs[i], cs[j]): (ks[i], ks[j]) for i, j in zip(x, y) if (cs[i], cs[j]) in new}
+        return pa.table({"lead": pa.array([i for i, _ in out.values()], pa.string()), "k": pa.array([j for _, j in out.values()], pa.string())})
+
+    return materialise(rows.groupBy("cell", "i", "j").applyInArrow(run, "lead string, k string"))
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """Links (a, b) between fingerprints of texts whose word shingles have at least that Jaccard similarity.
+    """Links (a, b) that connect the fingerprints of texts whose word shingles have at least that Jaccard similarity.
 
     Candidates share one of BANDS bands of BAND_ROWS MinHashes (a pair at 0.8 shares one with
-    probability 0.9996); each is then checked exactly over the whole sets. Equal texts meet once.
+    probability 0.9996) and are checked exactly over the whole sets. Pairs of a cell aren't
+    written: its rows are measured against one leader, which links a group of near copies by one
+    row each. By the triangle inequality of the Jaccard distance two rows can be near only where
+    their distances to the leader are, so the cell falls into rings as wide as the distance
+    sought, and rings that still hold several components get leaders of their own. What is left
+    after TURNS turns is compared in tasks of two blocks of rows, which emit links alone.
+    Equal texts meet once, null text is empty, and an empty table gives no rows.
     """
     spark = docs.sparkSession
+    ship(spark)
     texts = docs.select(F.md5(binary_text()).alias("k"), binary_text())
 
-    def make():
+    def bands():
         def work(batch):
-            keys, fps = [], []
+            keys = []
             for t in batch.column("text").to_pylist():
                 rows = min_hashes(shingle_set(t, shingle)).reshape(BANDS, BAND_ROWS)
-                keys.append([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)])
-                fps.append(fingerprint(t))
-            bands = pa.array(np.array(keys, np.uint64).reshape(-1).view(np.int64))
-            return {"k": batch.column("k"), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "bands": pa.ListArray.from_arrays(np.arange(len(fps) + 1, dtype=np.int32) * BANDS, bands)}
-
-        return work
-
-    def sets():
-        def work(batch):
-            return {"k": batch.column("k"), "hashes": [shingle_set(t, shingle).tobytes() for t in batch.column("text").to_pylist()]}
+                keys += [xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)]
+            cells = pa.array(np.array(keys, np.uint64).view(np.int64))
+            return {"k": batch.column("k"), "cells": pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS, cells)}
 
         return work
 
-    rows = materialise(map_rows(texts, "k string, fp long, bands array<long>", make).dropDuplicates(["k"]).select("k", "fp", F.explode("bands").alias("band")))
-    shared = materialise(rows.groupBy("band").count().where("count > 1").select("band"))
-    held = materialise(rows.join(shared, "band"))
-    other = held.select("band", F.col("k").alias("k2"), F.col("fp").alias("b"))
-    pairs = materialise(held.withColumnRenamed("fp", "a").join(other, "band").where("k < k2").select("k", "k2", "a", "b").distinct())
-    named = pairs.select("k").union(pairs.select("k2")).distinct()
-    found = materialise(map_rows(texts.join(named, "k", "left_semi").dropDuplicates(["k"]), "k string, hashes binary", sets))
-    both = pairs.join(found, "k").join(found.select(F.col("k").alias("k2"), F.col("hashes").alias("hashes2")), "k2")
-
-    def check():
+    def hashes():
         def work(batch):
-            ok = []
-            for x, y in zip(batch.column("hashes").to_pylist(), batch.column("hashes2").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                n = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(n >= similarity * (len(x) + len(y) - n))
-            keep = pa.array(ok, pa.bool_())
-            return {"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)}
+            texts = batch.column("text").to_pylist()
+            sets = [shingle_set(t, shingle) for t in texts]
+            fps = np.array([fingerprint(t) for t in texts], np.uint64)
+            return {"k": batch.column("k"), "fp": pa.array(fps.view(np.int64)), "n": [len(x) for x in sets], "hashes": [x.tobytes() for x in sets]}
 
         return work
 
-    ship(spark)
-    return materialise(map_rows(both.select("a", "b", "hashes", "hashes2"), "a long, b long", check).where("a <> b").distinct())
+    every = materialise(map_rows(texts, "k string, cells array<long>", bands).dropDuplicates(["k"]).select("k", F.explode("cells").alias("cell")))
+    shared = every.groupBy("cell").agg(F.count("*").alias("rows")).where("rows > 1").select("cell")
+    cells = materialise(every.join(shared, "cell"))
+    members = materialise(cells.select("k").distinct())
+    sets = materialise(map_rows(texts.join(members, "k", "left_semi").dropDuplicates(["k"]), "k string, fp long, n long, hashes binary", hashes))
+    edges = None
+    for turn in range(TURNS):
+        led = _leaders(cells, sets, similarity, turn)
+        found = led.where("near").select("lead", "k").distinct()
+        edges = edges.union(found) if edges else found
+        stars = connected_components(edges, materialise, discard).select(F.col("node").alias("k"), "root")
+        rings = led.join(stars, "k", "left").select("cell", "k", F.coalesce("root", "k").alias("c"), F.explode(F.array("ring", F.col("ring") + 1)).alias("ring"))
+        rings = materialise(rings.select(F.xxhash64("cell", "ring").alias("cell"), "k", "c"))
+        several = rings.groupBy("cell").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("cell")
+        cells = materialise(rings.join(several, "cell"))
+        if cells.isEmpty():
+            break
+        cells, left = cells.select("cell", "k"), cells
+    else:
+        edges = edges.union(_rest(left, sets, similarity))
+    fps = sets.select("k", "fp")
+    both = edges.join(fps.withColumnRenamed("fp", "b"), "k").join(fps.toDF("lead", "a"), "lead")
+    return materialise(both.where("a <> b").select("a", "b").distinct())
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, segments: int | None = None, similarity: float | None = None) -> DataFrame:
