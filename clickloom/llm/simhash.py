@@ -31,7 +31,7 @@ FIRST_SEGMENTS = 32
 #: MinHash bands of near_copies(), and MinHashes in each.
 BANDS, BAND_ROWS = 20, 5
 #: Turns of leaders in near_copies(), rows a leader's set is joined with at once, and rows and hashes of a block of the rest.
-TURNS, LEAD_ROWS, BLOCK_ROWS, BLOCK_HASHES = 2, 500, 64, 1_000_000
+TURNS, LEAD_ROWS, BLOCK_ROWS, BLOCK_HASHES = 2, 500, 512, 1_000_000
 #: Rows of a cell that are held at once, and comparisons in it, beyond which it is refined.
 CELL_ROWS, CELL_PAIRS = 100_000, 8_000_000
 
@@ -373,7 +373,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> D
     """
     spark = docs.sparkSession
     ship(spark)
-    texts = docs.select(F.md5(binary_text()).alias("k"), binary_text())
+    # copies go before anything is dealt by text: a partial aggregate leaves one of a task's
+    texts = materialise(docs.select(F.md5(binary_text()).alias("k"), binary_text()).dropDuplicates(["k"]))
 
     def bands():
         def work(batch):
@@ -395,11 +396,13 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> D
 
         return work
 
-    every = materialise(map_rows(texts, "k string, cells array<long>", bands).dropDuplicates(["k"]).select("k", F.explode("cells").alias("cell")))
+    every = materialise(map_rows(texts, "k string, cells array<long>", bands).select("k", F.explode("cells").alias("cell")))
     shared = every.groupBy("cell").agg(F.count("*").alias("rows")).where("rows > 1").select("cell")
     cells = materialise(every.join(shared, "cell"))
     members = materialise(cells.select("k").distinct())
-    sets = materialise(map_rows(texts.join(members, "k", "left_semi").dropDuplicates(["k"]), "k string, fp long, n long, hashes binary", hashes))
+    sets = materialise(map_rows(texts.join(members, "k", "left_semi"), "k string, fp long, n long, hashes binary", hashes))
+    discard(texts)
+    discard(every)
     edges = None
     for turn in range(TURNS):
         led = _leaders(cells, sets, similarity, turn)
