@@ -21,17 +21,27 @@ HINT = re.compile(rb"pass|secret|token|api", re.I)
 
 #: An assignment's operator; the name before it, read backwards; the value after it.
 OPERATOR = re.compile(rb":=|=>|=(?!=)|:(?![:/])")
-NAME_BACKWARDS = re.compile(rb"""[\x20\t]*["']?([A-Za-z0-9_$.\-]+)""")
+NAME_BACKWARDS = re.compile(rb"""[\x20\t]*\]?["']?([A-Za-z0-9_$.\-]+)""")
 PREFIX = rb"(?:[A-Za-z][A-Za-z0-9]?|[@$]{1,2})?"  # of a string: b, rb, f, u8, @, ...
-STRING = rb"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
+TRIPLE = rb"""(?:\"{3}(?:[^"\\]|\\[\s\S]|"(?!""))*+\"{3}|'{3}(?:[^'\\]|\\[\s\S]|'(?!''))*+'{3})"""
+STRING = rb"""(?:""" + TRIPLE + rb"""|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
 VALUE = re.compile(
     rb"[\x20\t]*(?P<value>(?:" + PREFIX + STRING + rb"|`[^`\n]*`|[A-Za-z_$][A-Za-z0-9_$.]*)"
     rb"(?:[\x20\t]*[+.][\x20\t]*(?:" + PREFIX + STRING + rb"|[A-Za-z_$][A-Za-z0-9_$]*))*)"
 )
-TERM = re.compile(PREFIX + rb"""(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)')|`([^`\n]*)`|([A-Za-z_$][A-Za-z0-9_$.]*)""")
+TERM = re.compile(PREFIX + rb"""(?:\"{3}((?:[^"\\]|\\[\s\S]|"(?!""))*+)\"{3}|'{3}((?:[^'\\]|\\[\s\S]|'(?!''))*+)'{3}|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)')|`([^`\n]*)`|([A-Za-z_$][A-Za-z0-9_$.]*)""")
 #: A type between a name's colon and its "=": str, &'static str, Option<&str>, list[str] | None, string?.
 _TYPE = rb"(?:&[\x20\t]*+(?:'[a-z_]+[\x20\t]++)?)?(?:(?:mut|dyn|const|readonly)[\x20\t]++)?(?:[A-Za-z_][A-Za-z0-9_.]*+(?:::[A-Za-z0-9_]++)*+)?(?:<[^=;\n\"]{1,200}>|\[[^=\n\"]{0,200}\])*+[?!]?"
 ANNOTATION = re.compile(rb"[\x20\t]*+" + _TYPE + rb"(?:[\x20\t]*+\|[\x20\t]*+" + _TYPE + rb")*+[\x20\t]*+=(?![=>])")
+#: A declaration whose type stands between name and "=": var key string =, Dim key As String =.
+DECLARED = re.compile(rb"[\x20\t]*+(?:(?:var|const|let|val|[Dd]im)[\x20\t]++([A-Za-z_]\w*+)[\x20\t]++(?:[Aa]s[\x20\t]++)?[A-Za-z_*\[\]][\w.*\[\]]*+|([A-Za-z_]\w*+)[\x20\t]++string)[\x20\t]*+(?==(?!=))")
+#: A raw string over several lines; the head of an indented block.
+RAW = re.compile(rb"[\x20\t]*`([^`]*+)`")
+BLOCK = re.compile(rb"[\x20\t]*[|>][+-]?[1-9]?[+-]?[\x20\t]*\r?\n")
+BLOCK_LINE = re.compile(rb"([\x20\t]*+)([^\n]*+)\n?")
+#: Markup: an element and its text; a name and a value in neighbouring attributes.
+ELEMENT = re.compile(rb"<([A-Za-z_][A-Za-z0-9_.:\-]*+)(?:\s[^<>]*+)?>\s*+([^<>\s]++)\s*+</([A-Za-z_][A-Za-z0-9_.:\-]*+)\s*+>")
+ATTRIBUTES = re.compile(rb"""\b(?:name|key)\s*+=\s*+["']([^"'<>\n]*+)["']\s++value\s*+=\s*+(?:"([^"\n]*+)"|'([^'\n]*+)')""")
 #: What precedes the name in a configuration-shaped line; its unquoted value, up to white space.
 LINE_START = re.compile(rb"""[\x20\t]*(?:(?:export|set|setx|ENV|ARG)[\x20\t]+|-[\x20\t]+)?["']?\Z""")
 BARE = re.compile(rb"""[\x20\t]*([^\s"'`]+)(?=\s|\Z)""")
@@ -102,7 +112,7 @@ def name_before(text: bytes, at: int) -> tuple[int, int] | None:
     while True:
         window = text[max(0, at - n) : at][::-1]
         m = NAME_BACKWARDS.match(window)
-        if n >= at or len(window.lstrip(b" \t")) > 1 and (not m or m.end() < len(window)):
+        if n >= at or len(window.lstrip(b" \t")) > 2 and (not m or m.end() < len(window)):
             return m and (at - m.end(1), at - m.start(1))
         n *= 2
 
@@ -118,37 +128,72 @@ def bare_value(text: bytes, line: int, op: re.Match, name: tuple[int, int]) -> t
     return m.start(1), m.start(1) + len(value)
 
 
+def block_value(text: bytes, line: int, op: re.Match, name: tuple[int, int]) -> tuple[int, int] | None:
+    """The span of the block that a colon opens: the following lines, as far as they are indented more than the name's line."""
+    if not LINE_START.match(text, line, name[0]) or not (m := BLOCK.match(text, op.end())):
+        return None
+    margin = len(text[line : name[0]]) - len(text[line : name[0]].lstrip(b" \t"))
+    at, first, last = m.end(), None, None
+    while at < len(text):
+        row = BLOCK_LINE.match(text, at)
+        if row[2].strip():
+            if len(row[1]) <= margin:
+                break
+            first = row.start(2) if first is None else first
+            last = row.start(2) + len(row[2].rstrip())
+        at = row.end()
+    return None if first is None else (first, last)
+
+
+def marked_up(text: bytes, least: float) -> list[tuple[int, int]]:
+    """Byte spans of the literals of markup: an element's text of one token, a value attribute after a name or key."""
+    out = []
+    if b"</" in text:
+        for m in ELEMENT.finditer(text):
+            if m[1] == m[3] and name_score(m[1]) > 0 and not WORDS.match(m[2]) and not CODE.match(m[2]) and literal_score(m[1], Value([], [m[2]])) >= least:
+                out.append(m.span(2))
+    if b"value" in text:
+        for m in ATTRIBUTES.finditer(text):
+            if name_score(m[1]) > 0 and literal_score(m[1], Value([], [m[m.lastindex]])) >= least:
+                out.append(m.span(m.lastindex))
+    return out
+
+
 def lexed(text: bytes, least: float) -> list[tuple[int, int]]:
     """Byte spans of literals whose target's score reaches least.
 
     A constant keeps the spans and value of its literals; a name assigned from constants, or
     from literals joined by + or ., inherits them, and its own name scores them anew. However
     many literals make up a value, all of them are found. A type between name and "=" is passed
-    over, and strings may have prefixes.
+    over, and strings may have prefixes. The target may be a subscript (config["key"] = ...) or have
+    its type behind it (var key string = ...); strings in three quotes or, after = and :=, in
+    backquotes may run over lines, and so may the indented block after a sensitive `name: |`.
+    Elements of one token and neighbouring name and value attributes are pairs as well.
 
     On a configuration-shaped line (a name, = or :, a value, from the line's start) the value may
     be unquoted. It ends at white space, without a closing comma or semicolon. Calls, variables and
     constants aren't values; nor are bare words and dotted names, except in NAME=value of capitals.
     """
+    found: set[tuple[int, int]] = set(marked_up(text, least))
     if b"=" not in text and b":" not in text:
-        return []
+        return sorted(found)
     constants: dict[bytes, Value] = {}
-    found: set[tuple[int, int]] = set()
     collected: set[int] = set()
     kept: list[Value] = []  # keeps the ids in collected from being given again
     end = line = seen = 0
+    declared, declared_at = None, -1
 
     def terms(m):
         parts, pieces = [], []
         base = m.start("value")
         for t in TERM.finditer(m["value"]):
-            if t[4] is None:
+            if t[6] is None:
                 k = t.lastindex
                 pieces.append(t[k])
                 parts.append((base + t.start(k), base + t.end(k)))
-            elif t[4] in constants:
-                pieces.append(constants[t[4]])
-                parts.append(constants[t[4]])
+            elif t[6] in constants:
+                pieces.append(constants[t[6]])
+                parts.append(constants[t[6]])
         return parts, pieces
 
     for op in OPERATOR.finditer(text):
@@ -158,6 +203,11 @@ def lexed(text: bytes, least: float) -> list[tuple[int, int]]:
         at = name_before(text, op.start())
         if not at:
             continue
+        if op[0] == b"=":
+            if declared_at != line:
+                declared, declared_at = DECLARED.match(text, line), line
+            if declared and declared.end() == op.start():
+                at = declared.span(declared.lastindex)
         name, parts = text[slice(*at)].lstrip(b".-0123456789"), []
         typed = ANNOTATION.match(text, op.end()) if op[0] == b":" else None
         if typed and (m := VALUE.match(text, typed.end())):
@@ -166,6 +216,10 @@ def lexed(text: bytes, least: float) -> list[tuple[int, int]]:
             parts, pieces = terms(m)
         if parts:
             end = m.end()
+        elif op[0] in (b"=", b":=") and (m := RAW.match(text, op.end())):
+            parts, pieces, end = [m.span(1)], [m[1]], m.end()
+        elif op[0] == b":" and name_score(name) > 0 and (block := block_value(text, line, op, at)):
+            parts, pieces, end = [block], [text[slice(*block)]], block[1]
         elif op[0] in (b"=", b":") and (bare := bare_value(text, line, op, at)) and not (typed and bare[1] < typed.end()):
             parts, pieces, end = [bare], [text[bare[0] : bare[1]]], bare[1]
         else:

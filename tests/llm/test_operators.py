@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -566,12 +567,64 @@ def test_long_assignments():
     ("{auth_key: a, token: b, client_secret: 'Zx9!qqW7#e'}", "Zx9!qqW7#e"),
     ("password: required\nauth_token = self.auth_token\npwd = get_pwd(x)\nPWD=$HOME_PWD", None),
     ("see the password: 9f8Kq1zZ77tQ", None),
+    ('config["db_password"] = "Zx9!qqW7#e"', "Zx9!qqW7#e"),
+    ("$cfg['client_secret'] = 'Zx9!qqW7#e';", "Zx9!qqW7#e"),
+    ('names[3] = "Zx9!qqW7#e"', None),
+    ('var apiKey string = "Zx9!qqW7#e"', "Zx9!qqW7#e"),
+    ('const authToken Secret = "Zx9!qqW7#e"', "Zx9!qqW7#e"),
+    ('var (\n\tapiKey string = "Zx9!qqW7#e"\n)', "Zx9!qqW7#e"),
+    ('Dim pwd As String = "Zx9!qqW7#e"', "Zx9!qqW7#e"),
+    ('var title string = "Zx9!qqW7#e"', None),
+    ('PASSPHRASE = """Zx9!\n"qqW7#e\n"""', 'Zx9!\n"qqW7#e\n'),
+    ("private_key = '''Zx9!\nqqW7#e'''", "Zx9!\nqqW7#e"),
+    ('PASSPHRASE = """Zx9!qqW7#e', None),
+    ("const privateKey = `Zx9!\nqqW7#e`", "Zx9!\nqqW7#e"),
+    ("tls:\n  private_key: |\n    Zx9!q\n\n    qW7#e\n  name: x", "Zx9!q\n\n    qW7#e"),
+    ("private_key: |\nname: x", None),
+    ("script: |\n  export DB_PWD=9f8Kq1zZ77tQ\n", "9f8Kq1zZ77tQ"),
+    ("<c><passphrase> Zx9!qqW7#e </passphrase></c>", "Zx9!qqW7#e"),
+    ("<passphrase>required</passphrase><title>Zx9!qqW7#e</title>", None),
+    ('<add key="DbPwd" value="Zx9! qqW7#e"/>', "Zx9! qqW7#e"),
+    ('<add key="Title" value="Zx9! qqW7#e"/>', None),
 ])
 def test_assignment_forms(text, want):
-    """Unquoted values on configuration lines, annotated names, string prefixes."""
+    """Unquoted values on configuration lines, types before and after names, string prefixes, several lines, markup."""
     assert [text[a:b] for a, b, k in secret_scan.scan(text.encode()) if k == "literal"] == ([want] if want else [])
 
 
+def test_lines_of_known_literals():
+    """Texts of random lines, built together with the literals to be found."""
+    rnd = random.Random(9)
+    forms = [
+        ('{n} = "{v}"', "{v}"), ("{'{n}': '{v}'}", "{v}"), ("{n} := `{v}`", "{v}"), ('cfg["{n}"] = "{v}"', "{v}"),
+        ("{n}: str = '{v}'", "{v}"), ('var {n} string = "{v}"', "{v}"), ('{n} = """{v}\n{v}"""', "{v}\n{v}"),
+        ("<{n}>{v}</{n}>", "{v}"), ('<x name="{n}" value="{v}"/>', "{v}"), ("{n}: |\n    {v}\n    {v}", "{v}\n    {v}"), ("{n}={v}", "{v}"),
+    ]
+    for _ in range(200):
+        text, want = "", []
+        for _ in range(rnd.randrange(1, 40)):
+            name, secret = rnd.choice([("db_pwd", True), ("clientPassphrase", True), ("my_credential", True), ("title", False), ("colour", False), ("hé", False)])
+            value = "".join(rnd.choice("ABCDEFGHJKMNPQRSTUVWXYZ23456789#!%") for _ in range(14)) + "7z"
+            form, found = rnd.choice(forms)
+            if secret:
+                at = len(text) + form.replace("{n}", name).index(found)
+                want.append((at, at + len(found.replace("{v}", value))))
+            text += form.replace("{n}", name).replace("{v}", value) + rnd.choice(["\n", "\n\n", "\nsome words é here\n"])
+        assert [(a, b) for a, b, k in secret_scan.scan(text.encode()) if k == "literal"] == want, text
+
+
+@pytest.mark.parametrize("part", ['x = """', "x = '''\\", "pwd = `", "pwd: |\n ", "<a ", '<pwd>"', 'key="', "var a string ", "a]=", "name = "])
+def test_scan_time_follows_length(part):
+    """Ten times the text takes about ten times as long, whatever stays open in it."""
+    took = []
+    for n in (6_000, 60_000):
+        text = (part * n).encode()
+        began = time.process_time()
+        secret_scan.scan(text)
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0] + 0.5
+
+
 def test_redact(spark):
     df = docs(spark, [(1, "token = abcdefabcdef0123 é", "s"), (2, None, "s"), (3, "clean", "s")])
     got = {r.doc_id: (r.text, r.n_chars) for r in secret_scan.redact(df).collect()}
