@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema as S
@@ -18,11 +18,12 @@ from .functions import keys as K
 from .functions.time_buckets import granularities, hour_bucket, quotient
 from .functions.urls import authority, normalized, normalized_or_same
 from .operators import edges, sessions
+from .operators.debug import debug
 from .plans import batch
 from .sources import serving, topics
 from .sources.store import FactStore, Landing, ingest, is_target, target
 from .streaming import views as streams
-from .streaming.state import KeyedState
+from .streaming.state import KeyedState, ReadCache
 from .workspace import children, work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +114,11 @@ def combined_aggregate(spark, sf_dir):
     return pair.select("url", F.col("p")[0].alias("n"), F.col("p")[1].alias("total"))
 
 
+def debug_rows(spark, sf_dir):
+    """Events watched on their way."""
+    return debug(events(spark, sf_dir).select("event_id", "url"), Observation())
+
+
 # views ---------------------------------------------------------------------------------------
 def dedup_pageviews(spark, sf_dir):
     got = batch.view_fields(batch.distinct_views(page_views(spark, sf_dir, repeats=True)))
@@ -370,13 +376,28 @@ def keyed_state(spark, sf_dir):
     return state.latest("url string, bucket long, n long", "url", "bucket")
 
 
+def cached_reads(spark, sf_dir):
+    """Counts per domain read by key through a cache of two, before and after a batch that replaces them (there are few event types)."""
+    schema, rows = "domain string, n long", spark.read.parquet(f"{sf_dir}/events.parquet")
+    counts = rows.groupBy(F.concat("event_type", F.lit(".example.com")).alias("domain")).agg(F.count("*").alias("n"))
+    cache = ReadCache(KeyedState(spark, f"{work_dir(spark)}/state", keys=("domain",)), schema, size=2)
+    cache.put(counts, 0)
+    domains = [(r.domain,) for r in counts.select("domain").collect()]
+    once: dict = {}
+    for k in range(len(domains)):  # each but the last is read twice, the second time from the cache
+        once |= cache.get(*domains[k : k + 2])
+    cache.put(counts.withColumn("n", F.col("n") * 2), 1)
+    twice = cache.get(*domains)
+    return spark.createDataFrame([(d, once[(d,)][1], twice[(d,)][1]) for (d,) in domains], "domain string, n long, twice long")
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         url_normalize, url_normalize_strict, url_domain, hour_buckets, granularity_rows, view_extraction, person_order, combined_aggregate,
         dedup_pageviews, pageviews_hourly, pageviews_over_time, uniques_hourly, uniques_over_time, bounces_intended, bounces_literal, bounces_timed,
         equiv_bidirectional, equiv_step, equiv_components, normalized_pageviews, split_targets, valid_targets, record_validation, store_ingest, scan_unit, scan_properties, store_compact,
         serving_pageviews, serving_bounces, serving_uniques, key_urls, shard_index, serving_export, batch_workflow, stream_pageviews, stream_uniques, stream_bounces, keyed_state,
-        stream_visits_state, topic_messages, state_updates, page_property_store, serving_export_uniques, serving_export_bounces,
+        stream_visits_state, topic_messages, state_updates, page_property_store, serving_export_uniques, serving_export_bounces, debug_rows, cached_reads,
     )}
 
 
@@ -467,5 +488,7 @@ UNION ALL SELECT domain, 'visits', visits FROM v UNION ALL SELECT domain, 'bounc
         "page_property_store": f"WITH {EV} SELECT raw AS url, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS views FROM pv GROUP BY raw",
         "serving_export_uniques": f"SELECT url || '/' || granularity || '-' || bucket AS key, uniques FROM ({uniq})",
         "serving_export_bounces": f"SELECT domain AS key, lower(lpad(to_hex(visits), 16, '0') || lpad(to_hex(bounces), 16, '0')) AS value FROM ({intended})",
+        "debug_rows": f"WITH {EV} SELECT event_id, raw AS url, 1 AS debug FROM pv",
+        "cached_reads": "SELECT event_type || '.example.com' AS domain, count(*) AS n, 2 * count(*) AS twice FROM events GROUP BY event_type",
         "keyed_state": f"WITH {EV} SELECT raw AS url, secs // 3600 AS bucket, count(*) AS n FROM pv GROUP BY ALL",
     }

@@ -3,13 +3,15 @@
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from clickloom.operators import sessions
+from clickloom.operators.debug import debug
 from clickloom.sources import serving, store as stores, topics
 from clickloom.sources.store import FactStore, Landing, ingest
 from clickloom.streaming import views as streams
-from clickloom.streaming.state import PLAIN, KeyedState
+from clickloom.streaming.state import PLAIN, KeyedState, ReadCache
 from clickloom.workspace import children, rename
 from test_views import SPEED, stream_of, views_of
 
@@ -88,6 +90,36 @@ def test_totals_keep_through_snapshots(spark, tmp_path):
     assert state.total(SCHEMA, "row", "col").first().v == 60
 
 
+def test_read_cache(spark, tmp_path, monkeypatch):
+    state = KeyedState(spark, f"file://{tmp_path}/s", ("col", "row"))
+    cache, asked = ReadCache(state, SCHEMA, size=2), []
+    get = KeyedState.get
+    monkeypatch.setattr(KeyedState, "get", lambda self, schema, keys: asked.append(sorted(map(tuple, keys.collect()))) or get(self, schema, keys))
+    cache.put(rows(spark, ("a", "x", 1), ("b", "y", 2), ("c", "z", 3)), 0)
+    assert cache.get(("x", "a"), ("y", "b"), ("y", "b")) == {("x", "a"): ("a", "x", 1), ("y", "b"): ("b", "y", 2)}
+    assert cache.get(("x", "a"), ("y", "b")) == cache.get(("x", "a")) | cache.get(("y", "b")) and len(asked) == 1
+    assert cache.get(("x", "none"), ("z", "c")) == {("x", "none"): None, ("z", "c"): ("c", "z", 3)} and len(cache.held) == 2
+    assert cache.get(("x", "none")) == {("x", "none"): None} and len(asked) == 2  # that there is none is held as well
+    assert cache.get(("y", "b"))[("y", "b")] == ("b", "y", 2) and asked[2] == [("y", "b")]
+    cache.put(rows(spark, ("b", "y", 5)), 1)
+    assert cache.get(("y", "b"), ("x", "a")) == {("y", "b"): ("b", "y", 5), ("x", "a"): ("a", "x", 1)}
+    cache.remove(rows(spark, ("b", "y", 0)).select("col", "row"), 2)
+    assert cache.get(("y", "b"), ("x", None)) == {("y", "b"): None, ("x", None): None}
+    assert cache.get() == {}
+    with pytest.raises(ValueError, match="key columns"):
+        ReadCache(KeyedState(spark, f"file://{tmp_path}/t"), SCHEMA)
+
+
+def test_debug(spark):
+    seen = Observation()
+    got = debug(rows(spark, ("a", "x", 1), ("b", None, 2)), seen).collect()
+    assert [tuple(r) for r in got] == [("a", "x", 1, 1), ("b", None, 2, 1)]
+    assert seen.get == {"rows": 2, "least": '{"row":"a","col":"x","v":1}', "greatest": '{"row":"b","v":2}'}
+    assert debug(rows(spark).limit(0), Observation()).collect() == []
+    with pytest.raises(ValueError, match="column v already"):
+        debug(rows(spark), Observation(), "v")
+
+
 def test_visits_with_state(spark, tmp_path):
     views, state, cp = stream_of(spark, SPEED, tmp_path, (slice(0, 4), slice(4, 8)))
     streams.start_bounces(views, state, cp, close=streams.visits_with_state).awaitTermination()
